@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chunking, copies, mapping, mixing, packing, topn
+from skein.llm import chunking, copies, mapping, mixing, packing, quality, topn
 from skein.sources.tables import table
 
 
@@ -58,8 +58,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.sized_documents(table(spark, d, "documents")), table(spark, d, "mix_target"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_word")).where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
+def p8_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of every text that isn't blank."""
+    return quality.text_quality(table(spark, d, "documents"), table(spark, d, "common_word"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p3_unmatched, p4_found, p4_pieces, p5_found, p6_found, p6_containers, p7_found, p7_shares)
+    f.__name__: f for f in (p2_found, p3_found, p3_unmatched, p4_found, p4_pieces, p5_found, p6_found, p6_containers, p7_found, p7_shares, p8_found, p8_figures)
 }
 
 SQL: dict[str, str] = {
