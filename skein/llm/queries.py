@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chunking, copies, mapping, mixing, packing, quality, topn
+from skein.llm import chunking, copies, mapping, mixing, packing, quality, scans, topn
 from skein.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repairs(table(spark, d, "afsc_doc"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of each scanned record, and how many repairs it took."""
+    return scans.repaired(table(spark, d, "afsc_doc")).select("afsc_doc_id", "clean_text", F.size("repairs").alias("n_repairs"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.best_requirements(table(spark, d, "rels_requires"))
 
@@ -68,7 +77,7 @@ def p8_figures(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p3_unmatched, p4_found, p4_pieces, p5_found, p6_found, p6_containers, p7_found, p7_shares, p8_found, p8_figures)
+    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_unmatched, p4_found, p4_pieces, p5_found, p6_found, p6_containers, p7_found, p7_shares, p8_found, p8_figures)
 }
 
 SQL: dict[str, str] = {
