@@ -20,8 +20,8 @@ MARKER = re.compile(r"\s*(?:[-+*•★●▪◦–→·»>#]\s|\[[ xX]?\]|\(?(?:
 LEADER = re.compile(r"(?:\.{4,}|(?: \.){4,})\s*\d+\s*\Z")
 RULE = re.compile(r"[\s|+:=_-]{3,}\Z")
 CELLS = re.compile(r"\s*\|\s*|\t+|\s{2,}|;|,")
-HARD = re.compile(r"([.!?…:;][\"'”»)]*\s+|\n)")
-PIECE = re.compile(r"[,;|\t\n:]+|[.!?]+\s|\s{2,}| / ")
+STOPS = (". ", "! ", "? ", "… ", ": ", "; ")
+PIECES = str.maketrans(dict.fromkeys(",;|\t:", "\n"))
 END = re.compile(r"[.!?:;…][\"'”»)]*\s*\Z")
 STRANGE = re.compile(r"[^\w\s.,;:!?'\"()\[\]{}<>/|+*=&%$#@~^`\\_’‘“”„«»–—•★…¿¡°§€-]|[ÃÂâ][^\w\s]|[ÃÂ][ -¿]|â€")
 #: Words from which a segment can be a sentence.
@@ -104,15 +104,19 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     spaces = size - sum(map(len, tokens))
     counts = Counter(words)
     share = max((sum(counts[w] for w in c if w in counts) for c in common.values()), default=0) / n if n else 0.0
-    segments, running = [], 0
-    parts = [*HARD.split(flat), ""]
-    for seg, end in zip(parts[::2], parts[1::2], strict=True):
-        k = len(seg.split())
-        if k:
-            segments.append(k)
-            if k >= SENTENCE and (end or seg.rstrip()[-1:])[0] in ".!?…:;" and k >= 3.5 * (1 + seg.count(",") + seg.count("|") + seg.count("\t") + seg.count("  ") + seg.count('";')):
+    spread = flat
+    for stop in STOPS:
+        spread = spread.replace(stop, stop[0] + "\n")
+    squares = total = running = 0
+    for seg in spread.split("\n"):
+        seg = seg.strip()
+        if seg:
+            k = seg.count(" ") + 1
+            squares += k * k
+            total += k
+            if k >= SENTENCE and seg[-1] in ".!?…:;" and k >= 3.5 * (1 + seg.count(",") + seg.count("|") + seg.count("\t") + seg.count("  ") + seg.count('";')):
                 running += k
-    pieces = sum(1 for p in PIECE.split(flat) if p and not p.isspace())
+    pieces = sum(1 for p in spread.translate(PIECES).replace("  ", "\n").replace(" / ", "\n").split("\n") if p and not p.isspace())
     raw = text.encode("utf-8", "surrogatepass")
     plain = text.isascii()
     vowels = sum(map(low.count, VOWELS if plain else VOWELS + MORE_VOWELS))
@@ -122,7 +126,7 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     clean = sum(k for t, k in kinds.items() if is_clean(t))
     return [
         float(size), float(n), letters / n if n else 0.0, (size - letters - digits - spaces) / max(1, size - spaces), digits / max(1, size - spaces), ended / max(1, len(lines)), share,
-        sum(s * s for s in segments) / max(1, sum(segments)), len(tokens) / max(1, pieces), marks(lines) / max(1, len(lines)), cell_share(lines),
+        squares / max(1, total), len(tokens) / max(1, pieces), marks(lines) / max(1, len(lines)), cell_share(lines),
         clean / max(1, len(tokens)), len(zlib.compress(raw, 1)) / (len(raw) + 60), vowels / max(1, letters),
         float(max(map(len, kinds), default=0)), len(set(lines)) / max(1, len(lines)), 0.0 if plain else len(STRANGE.findall(text)) / size, stops / max(1, len(tokens)), running / max(1, len(tokens)),
     ]
