@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from skein.plans import q_graph, q_items, q_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = q_text.QUERIES | q_items.QUERIES | q_graph.QUERIES
+SQL: dict[str, str] = q_text.SQL | q_items.SQL | q_graph.SQL
