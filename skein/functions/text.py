@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,11 @@ def md5_left(c: Column, n: int) -> Column:
 def literal_pattern(q: str) -> str:
     """A pattern for the text ``q`` itself."""
     return r"\Q" + q.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once a row.
+
+    They pass through a generator, into which the optimizer doesn't copy them again for each place that names them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

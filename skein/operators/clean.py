@@ -16,11 +16,10 @@ BULLETS = "•"
 
 def dedent(c: Column | str) -> Column:
     """Without the indent that all lines that aren't blank share; blank lines become empty, and the ends are stripped."""
-    lines = F.split(col(c), "\n")
-    is_blank = lambda x: F.regexp_replace(x, r"(?U)\s+", "") == ""
-    indent = F.array_min(F.transform(F.filter(lines, lambda x: ~is_blank(x)), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))))
-    cut = F.transform(lines, lambda x: F.when(is_blank(x), F.lit("")).otherwise(F.substr(x, F.coalesce(indent, F.lit(0)) + 1)))
-    return strip(F.array_join(cut, "\n"))
+    bare = sub(c, r"(?m)^[^\S\n]+$")
+    indent = F.array_min(F.transform(F.filter(F.split(bare, "\n"), lambda x: x != ""), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))))
+    shared = F.concat(F.lit("(?md)^[ \\t]{"), F.coalesce(indent, F.lit(0)).cast("string"), F.lit("}"))  # found once a text, not once a line
+    return strip(F.regexp_replace(bare, shared, F.lit("")))
 
 
 def drop_fences(c: Column | str) -> Column:

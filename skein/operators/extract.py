@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import ascii_shape, col, literal_pattern, short, squeeze, strip, sub
-from skein.operators.items import first_wins, top_rows
+from skein.functions.text import ascii_shape, col, computed, literal_pattern, short, squeeze, strip, sub
+from skein.operators.items import top_rows
 
 # Fixed values of the phrase miner, in their order.
 VERBS = (
@@ -37,50 +37,60 @@ def _numbered(hits: Column, **more: Column) -> Column:
     return F.transform(hits, lambda h, j: F.struct(*[v.alias(k) for k, v in more.items()], j.alias("pos"), h.alias("hit")))
 
 
-def verb_phrases(docs: DataFrame, ident: str, text: str, most: int = 8) -> DataFrame:
-    """Verb and object phrases: ``ident``, vord, pos, phrase, the first ``most`` of each document in order of verb and place.
-
-    Each document is matched against the fixed verbs inside one expression, so nothing is multiplied before the matches
-    are known; the cut keeps order within the array and needs no shuffle.
-    """
-    shape = ascii_shape(text)
-    each = []
-    for i, v in enumerate(VERBS):
-        found = F.regexp_extract_all(F.col("_s"), F.lit(rf"\b{v}(?:s|es|ing)?\s+([a-z]+\s+[a-z]+(?:\s+[a-z]+){{0,2}})\b"), F.lit(1))
-        each.append(_numbered(found, vord=F.lit(i), verb=F.lit(v)))
+def _verb_array(shape: Column, most: int) -> Column:
+    """The first ``most`` verb phrases of a shaped text: vord, pos, phrase."""
+    each = [_numbered(F.regexp_extract_all(shape, F.lit(rf"\b{v}(?:s|es|ing)?\s+([a-z]+\s+[a-z]+(?:\s+[a-z]+){{0,2}})\b"), F.lit(1)), vord=F.lit(i), verb=F.lit(v)) for i, v in enumerate(VERBS)]
     good = F.filter(F.flatten(F.array(*each)), lambda x: (F.length(F.trim(x["hit"])) > 15) & ~x["hit"].rlike("|".join(FILLERS)))
-    rows = docs.select(ident, shape.alias("_s")).select(ident, F.explode(F.slice(good, 1, most)).alias("x"))
-    phrase = F.regexp_replace(F.concat("x.verb", F.lit(" "), "x.hit"), r"\s+(and|or|the|for|with|from)$", "")
-    return rows.select(ident, F.col("x.vord").alias("vord"), F.col("x.pos").alias("pos"), phrase.alias("phrase"))
+    phrase = lambda x: F.regexp_replace(F.concat(x["verb"], F.lit(" "), x["hit"]), r"\s+(and|or|the|for|with|from)$", "")
+    return F.transform(F.slice(good, 1, most), lambda x: F.struct(x["vord"].alias("vord"), x["pos"].alias("pos"), phrase(x).alias("phrase")))
 
 
-def domain_phrases(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """Of each domain word's first match the words around it, if they make 15 to 60 characters without a double blank."""
-    shape = F.col("_s")
+def _domain_array(shape: Column) -> Column:
+    """Domain phrases of a shaped text: word_no, phrase."""
     each = []
     for i, w in enumerate(DOMAIN_WORDS):
         rx = rf"\b([a-z]+\s+){w}(\s+[a-z]+)?\b"
         around = F.trim(F.concat(F.regexp_extract(shape, rx, 1), F.coalesce(F.regexp_extract(shape, rx, 2), F.lit(""))))
         each.append(F.struct(F.lit(i).alias("word_no"), around.alias("phrase")))
-    good = F.filter(F.array(*each), lambda x: F.length(x["phrase"]).between(15, 60) & ~x["phrase"].contains("  "))
-    return docs.select(ident, ascii_shape(text).alias("_s")).select(ident, F.inline(good))
+    return F.filter(F.array(*each), lambda x: F.length(x["phrase"]).between(15, 60) & ~x["phrase"].contains("  "))
 
 
-def mined_items(docs: DataFrame, ident: str, text: str, most: int = 6) -> DataFrame:
-    """Items of every document: verb phrases; domain phrases if these are under four; generic items if there are none.
+def verb_phrases(docs: DataFrame, ident: str, text: str, most: int = 8) -> DataFrame:
+    """Verb and object phrases: ``ident``, vord, pos, phrase, the first ``most`` of each document in order of verb and place."""
+    return computed(docs.select(ident, col(text).alias("_t")), _s=ascii_shape("_t")).select(ident, F.inline(_verb_array(F.col("_s"), most)))
+
+
+def domain_phrases(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """Of each domain word's first match the words around it, if they make 15 to 60 characters without a double blank."""
+    return computed(docs.select(ident, col(text).alias("_t")), _s=ascii_shape("_t")).select(ident, F.inline(_domain_array(F.col("_s"))))
+
+
+def _first_of_equal(items: Column, key) -> Column:
+    """An array without the elements whose key an earlier one has; ``items`` is evaluated once."""
+    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: key(y) == key(x)), kept).otherwise(F.concat(kept, F.array(x))))
 
-    ``ident``, ord, text, item_type, confidence, source; of equal texts the first, longer than 8 characters, ``most`` a document.
+
+def with_mined(docs: DataFrame, text: str, most: int = 6) -> DataFrame:
+    """``docs`` with ``mined``, an array of items (ord, text, confidence, source); a document's items come from its own row.
+
+    Verb phrases; domain phrases if these are under four; generic items if there are none. Of equal texts the first,
+    longer than 8 characters, ``most`` of them. No shuffle: nothing is joined or grouped.
     """
-    verbs = verb_phrases(docs, ident, text)
-    ranked = verbs.select(ident, (F.col("vord") * 1000 + F.col("pos")).alias("ord"), F.col("phrase").alias("text"), F.lit(0.55).alias("confidence"), F.lit("fallback-pattern").alias("source"))
-    enough = ranked.groupBy(ident).count().where(F.col("count") >= 4).select(ident)
-    more = domain_phrases(docs, ident, text).join(enough, ident, "left_anti")
-    more = more.select(ident, (F.lit(100_000) + F.col("word_no")).alias("ord"), F.col("phrase").alias("text"), F.lit(0.50).alias("confidence"), F.lit("fallback-domain").alias("source"))
-    found = first_wins(ranked.unionByName(more).withColumn("_k", F.lower(F.trim("text"))).where(F.length("_k") > 8), [ident, "_k"]).drop("_k")
-    found = top_rows(found, [ident], [F.col("ord")], most).drop("rank_no")
-    none = docs.select(ident).distinct().join(found.select(ident).distinct(), ident, "left_anti")
-    generic = none.select(ident, F.posexplode(F.array(*map(F.lit, GENERIC_ITEMS)))).select(ident, (F.lit(200_000) + F.col("pos")).alias("ord"), F.col("col").alias("text"), F.lit(0.3).alias("confidence"), F.lit("fallback-generic").alias("source"))
-    return found.unionByName(generic).withColumn("item_type", F.lit("skill"))
+    item = lambda o, t, c, s: F.struct(o.cast("long").alias("ord"), t.alias("text"), F.lit(c).alias("confidence"), F.lit(s).alias("source"))
+    df = computed(computed(docs, _s=ascii_shape(text)), _v=_verb_array(F.col("_s"), 8))
+    df = computed(df, _d=F.when(F.size("_v") < 4, _domain_array(F.col("_s"))).otherwise(F.array().cast("array<struct<word_no:int,phrase:string>>")))
+    verbs = F.transform("_v", lambda x: item(x["vord"] * 1000 + x["pos"], x["phrase"], 0.55, "fallback-pattern"))
+    domain = F.transform("_d", lambda x: item(x["word_no"] + 100_000, x["phrase"], 0.50, "fallback-domain"))
+    df = computed(df, _every=F.filter(F.concat(verbs, domain), lambda x: F.length(F.trim(x["text"])) > 8))
+    df = computed(df, _all=F.slice(_first_of_equal(F.col("_every"), lambda x: F.lower(F.trim(x["text"]))), 1, most))
+    generic = F.array(*[item(F.lit(200_000 + i), F.lit(t), 0.3, "fallback-generic") for i, t in enumerate(GENERIC_ITEMS)])
+    return df.withColumn("mined", F.when(F.size("_all") > 0, F.col("_all")).otherwise(generic)).drop("_s", "_v", "_d", "_every", "_all")
+
+
+def mined_items(docs: DataFrame, ident: str, text: str, most: int = 6) -> DataFrame:
+    """The items of :func:`with_mined` as rows: ``ident``, ord, text, confidence, source, item_type. A null text counts as empty."""
+    df = with_mined(docs.select(ident, F.coalesce(text, F.lit("")).alias("_t")), "_t", most)
+    return df.select(ident, F.inline("mined")).withColumn("item_type", F.lit("skill"))
 
 
 def last_resort_items(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -100,17 +110,34 @@ def classified(c: Column | str) -> Column:
     return F.when((k > 0) & (k >= s) & (k >= a), F.lit("knowledge")).when((s > 0) & (s >= a), F.lit("skill")).when(a > 0, F.lit("ability")).otherwise(F.lit("skill"))
 
 
-def topics(docs: DataFrame, ident: str, text: str, most: int = 8) -> DataFrame:
-    """Capitalised runs, then words before topic nouns; of equal ones the first, ``most`` a document: ``ident``, ord, topic."""
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(col(text), r"[\x{85}\p{Z}]", " "), r"[^\x{00}-\x{7F}\p{L}\p{M}\p{N}]", "#"), r"[^\x{00}-\x{7F}]", "_")
+def _topic_array(text: Column) -> Column:
+    """Topics of a text: ord, topic."""
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\x{85}\p{Z}]", " "), r"[^\x{00}-\x{7F}\p{L}\p{M}\p{N}]", "#"), r"[^\x{00}-\x{7F}]", "_")
     caps = F.regexp_extract_all(s, F.lit(r"\b([A-Z][a-zA-Z0-9/\-+]+(?:\s+[A-Z][a-zA-Z0-9/\-+]+){0,3})\b"), F.lit(1))
     before = F.regexp_extract_all(s, F.lit(rf"(?i)\b([A-Za-z0-9/\-+]+\s+(?:{TOPIC_NOUNS}))\b"), F.lit(1))
-    rows = docs.select(ident, F.posexplode(F.concat(caps, before)).alias("ord", "topic")).withColumn("_k", F.lower(F.trim("topic"))).where(F.length("_k") > 3)
-    return top_rows(first_wins(rows, [ident, "_k"]).drop("_k"), [ident], [F.col("ord")], most).drop("rank_no")
+    return F.transform(F.concat(caps, before), lambda t, i: F.struct(i.alias("ord"), t.alias("topic")))
+
+
+def topics(docs: DataFrame, ident: str, text: str, most: int = 8) -> DataFrame:
+    """Capitalised runs, then words before topic nouns; of equal ones the first, ``most`` a document: ``ident``, ord, topic."""
+    found = F.filter(_topic_array(col("_x")), lambda x: F.length(F.trim(x["topic"])) > 3)
+    df = computed(docs.select(ident, col(text).alias("_x")), _t=found).drop("_x")
+    return df.select(ident, F.inline(F.slice(_first_of_equal(F.col("_t"), lambda x: F.lower(F.trim(x["topic"]))), 1, most)))
+
+
+def with_heuristics(df: DataFrame, text: str) -> DataFrame:
+    """``df`` (with ``mined``) with ``more``: abilities from the first two skills with a fitting verb, knowledge from the first three topics."""
+    item = lambda o, t, k: F.struct(o.cast("long").alias("ord"), t.alias("text"), F.lit(0.55).alias("confidence"), F.lit("llm-heuristic").alias("source"), F.lit(k).alias("item_type"))
+    fit = F.slice(F.filter("mined", lambda x: F.lower(F.split(x["text"], " ")[0]).isin(*ABILITY_VERBS)), 1, 2)
+    ability = F.transform(fit, lambda x, i: item(i + 300_000, F.concat(F.lit("Ability to "), F.lower(F.left(x["text"], F.lit(1))), F.substring(x["text"], 2, 1 << 30)), "ability"))
+    df = computed(df, _t=F.filter(_topic_array(col(text)), lambda x: F.length(F.trim(x["topic"])) > 3))
+    three = F.slice(_first_of_equal(F.col("_t"), lambda x: F.lower(F.trim(x["topic"]))), 1, 3)
+    know = F.transform(three, lambda x, i: item(i + 400_000, F.concat(F.lit("Knowledge of "), x["topic"]), "knowledge"))
+    return df.withColumn("more", F.concat(ability, know)).drop("_t")
 
 
 def heuristic_items(docs: DataFrame, items: DataFrame, ident: str, text: str) -> DataFrame:
-    """Abilities from the first two skills with a fitting verb where a document has none, knowledge from its first three topics likewise."""
+    """As :func:`with_heuristics` for items that come as rows of their own: abilities where a document has none, knowledge likewise."""
     has = lambda kind: items.where(F.col("item_type") == kind).select(ident).distinct()
     skills = items.where((F.col("item_type") == "skill") & F.lower(F.split("text", " ")[0]).isin(*ABILITY_VERBS)).join(has("ability"), ident, "left_anti")
     ability = top_rows(skills, [ident], [F.col("ord")], 2).select(ident, F.concat(F.lit("Ability to "), F.lower(F.left("text", F.lit(1))), F.substring("text", 2, 1 << 30)).alias("text"), F.lit("ability").alias("item_type"))

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import md5_left
+from skein.functions.text import computed, md5_left
 from skein.operators.clean import clean_text
-from skein.operators.extract import heuristic_items, mined_items
+from skein.operators.extract import with_heuristics, with_mined
 from skein.operators.items import min_confidence, quality_filter
 from skein.operators.similarity import canonical_items
 from skein.operators.stats import count_types
@@ -32,21 +32,23 @@ def run(docs: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFram
 
     clean, extract, confidence, enhancement, quality filter, near duplicates; nothing is written.
     """
-    cleaned = docs.select("doc_code", clean_text("raw_text").alias("text"))
-    raw = mined_items(cleaned, "doc_code", "text").withColumn("esco_id", F.lit(None).cast("string"))
-    items = min_confidence(raw, config.min_confidence)
+    df = with_mined(computed(docs.select("doc_code", "raw_text"), _text=clean_text("raw_text")).drop("raw_text"), "_text")
+    found = F.transform("mined", lambda x: F.struct(x["ord"].alias("ord"), x["text"].alias("text"), x["confidence"].alias("confidence"), x["source"].alias("source"), F.lit("skill").alias("item_type")))
+    if config.enhance:
+        df = with_heuristics(df, "_text")
+        found = F.concat(found, F.col("more"))
+    items = df.select("doc_code", F.size("mined").alias("n_items_raw"), F.inline(found)).withColumn("esco_id", F.lit(None).cast("string"))
+    items = min_confidence(items, config.min_confidence)
     if not config.keep_types:
         items = items.withColumn("item_type", F.lit("skill"))
-    if config.enhance:
-        more = heuristic_items(cleaned, items, "doc_code", "text").withColumns({"ord": F.lit(1_000_000).cast("long"), "esco_id": F.lit(None).cast("string")})
-        items = items.withColumn("ord", F.col("ord").cast("long")).unionByName(more)
     # one number for all documents, in order within each
-    items = items.withColumn("ord", F.xxhash64("doc_code", "text", "item_type").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("ord").cast("long") * F.lit(1 << 40))
+    items = items.withColumn("ord", F.xxhash64("doc_code", "text", "item_type").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("ord") * F.lit(1 << 40))
     good = quality_filter(items, config.strict, config.domain_bias)
     final = good
     if config.dedupe:
         kept = canonical_items(good).select("doc_code", "item_type", F.col("leader_ord").alias("ord"), F.col("esco_id").alias("lifted_id"))
         final = good.join(kept, ["doc_code", "item_type", "ord"]).withColumn("esco_id", F.coalesce("esco_id", "lifted_id")).drop("lifted_id")
-    n = lambda df, name: df.groupBy("doc_code").agg(F.count(F.lit(1)).alias(name))
-    summary = n(raw, "n_items_raw").join(n(good, "n_items_after_filters"), "doc_code", "left").join(count_types(final, "doc_code").withColumnRenamed("total", "n_items_after_dedupe"), "doc_code", "left").na.fill(0)
+    counts = good.groupBy("doc_code").agg(F.max("n_items_raw").alias("n_items_raw"), F.count(F.lit(1)).alias("n_items_after_filters"))
+    kept = count_types(final, "doc_code").withColumnRenamed("total", "n_items_after_dedupe")
+    summary = docs.select("doc_code").join(counts, "doc_code", "left").join(kept, "doc_code", "left").na.fill(0)
     return final.withColumn("content_sig", md5_left(F.col("text"), 16)), summary

@@ -207,7 +207,7 @@ def x03_x04_mined_items(spark, d):
   SELECT afsc_doc_id, count(*) AS total, count(*) FILTER (false) AS knowledge, count(*) AS skills, count(*) FILTER (false) AS abilities FROM mined GROUP BY 1""")
 def a04_items_per_document(spark, d):
     """Flagship: every document cleaned, mined and counted."""
-    docs = table(spark, d, "afsc_doc").select("afsc_doc_id", clean.clean_text("raw_text").alias("text"))
+    docs = T.computed(table(spark, d, "afsc_doc").select("afsc_doc_id", "raw_text"), text=clean.clean_text("raw_text")).drop("raw_text")
     items = extract.mined_items(docs, "afsc_doc_id", "text").withColumn("esco_id", F.lit(None).cast("string"))
     return count_types(items, "afsc_doc_id").drop("aligned")
 

@@ -9,7 +9,7 @@ AUDIT = ("timestamp", "afsc", "mode", "status", "metrics", "error")
 
 
 def csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:
-    df.select(*(columns or df.columns)).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*(columns or df.columns)).write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
