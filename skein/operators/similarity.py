@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,50 +47,68 @@ def least_jaccard(threshold: float) -> float:
     return (threshold - WEIGHT_CHARS) / WEIGHT_TOKENS
 
 
+class Leaders:
+    """The clusters of one group so far: their leaders, and which of these have which word."""
+
+    def __init__(self, need: float, threshold: float) -> None:
+        self.need, self.threshold = need, threshold
+        self.forms: list[str] = []
+        self.words: list[set[str]] = []
+        self.ords: list[int] = []
+        self.having: dict[str, list[int]] = {}
+
+    def place(self, form: str, ord_: int, may_join: bool) -> tuple[int, int]:
+        """Number and leader of the cluster that an item joins, or opens."""
+        mine = set(form.split())
+        if may_join:
+            shared: dict[int, int] = {}
+            for w in mine:
+                for c in self.having.get(w, ()):
+                    shared[c] = shared.get(c, 0) + 1
+            if not mine:
+                shared = {c: 0 for c, ws in enumerate(self.words) if not ws}
+            for c in sorted(shared):
+                union = len(mine) + len(self.words[c]) - shared[c]
+                j = shared[c] / union if union else 1.0
+                if j >= self.need - 1e-9 and WEIGHT_TOKENS * j + WEIGHT_CHARS * ratio(form, self.forms[c]) >= self.threshold:
+                    return c, self.ords[c]
+        for w in mine:
+            self.having.setdefault(w, []).append(len(self.forms))
+        self.forms.append(form)
+        self.words.append(mine)
+        self.ords.append(ord_)
+        return len(self.forms) - 1, ord_
+
+
 def greedy_clusters(items: DataFrame, threshold: float = SAME, shortest: int = SHORTEST) -> DataFrame:
     """Near duplicates of a document and type joined, best first: the items with cluster_no and leader_ord.
 
     Items go in order of (has id, confidence, length) descending, then ``ord``; each joins the first cluster whose leader is
     similar enough, texts under ``shortest`` characters never do. The order makes this sequential within a group. Exact
-    repeats are collapsed before the shuffle (they can only follow their first), and leaders are looked up by shared
-    words, so a group costs its similar pairs and not its square. A null text counts as empty.
+    repeats are collapsed before the shuffle (they can only follow their first); Spark sorts each group on disk and it
+    streams through, only its leaders being kept; and these are looked up by shared words, so a group costs its similar
+    pairs and not its square. A null text counts as empty.
     """
     need = least_jaccard(threshold)
     ranked = items.select("doc_code", "item_type", "ord", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), has_id("esco_id").alias("has_id"))
     lead = F.max(F.struct("has_id", "confidence", (-F.col("ord")).alias("neg")))
     distinct = ranked.groupBy("doc_code", "item_type", "text").agg(lead.alias("b")).select("doc_code", "item_type", "text", (-F.col("b.neg")).alias("ord"), "b.has_id", "b.confidence", match_form("text").alias("form"))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf["text"].str.len()).sort_values(["has_id", "confidence", "size", "ord"], ascending=[False, False, False, True], kind="stable")
-        forms, words, index = [], [], {}
-        number, leaders = [], []
-        for form, size, ord_ in zip(pdf["form"], pdf["size"], pdf["ord"], strict=True):
-            mine = set(form.split())
-            found = -1
-            if size >= shortest:
-                shared: dict[int, int] = {}
-                for w in mine:
-                    for c in index.get(w, ()):
-                        shared[c] = shared.get(c, 0) + 1
-                if not mine:
-                    shared = {c: 0 for c, ws in enumerate(words) if not ws}
-                for c in sorted(shared):
-                    union = len(mine) + len(words[c]) - shared[c]
-                    j = shared[c] / union if union else 1.0
-                    if j >= need - 1e-9 and WEIGHT_TOKENS * j + WEIGHT_CHARS * SequenceMatcher(None, form, forms[c]).ratio() >= threshold:
-                        found = c
-                        break
-            if found < 0:
-                found = len(forms)
-                forms.append(form)
-                words.append(mine)
-                leaders.append(ord_)
-                for w in mine:
-                    index.setdefault(w, []).append(found)
-            number.append(found)
-        return pd.DataFrame({"doc_code": pdf["doc_code"], "item_type": pdf["item_type"], "text": pdf["text"], "cluster_no": number, "leader_ord": [leaders[n] for n in number]})
-
-    each = distinct.groupBy("doc_code", "item_type").applyInPandas(cluster, "doc_code string, item_type string, text string, cluster_no int, leader_ord long")
+    def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        leaders = Leaders(need, threshold)
+        for b in batches:
+            number, led = [], []
+            for code, kind, text, ord_, form in zip(*(b.column(c).to_pylist() for c in ("doc_code", "item_type", "text", "ord", "form")), strict=True):
+                if (code, kind) != group:
+                    group, leaders = (code, kind), Leaders(need, threshold)
+                n, leader = leaders.place(form, ord_, len(text) >= shortest)
+                number.append(n)
+                led.append(leader)
+            yield pa.RecordBatch.from_arrays([b.column("doc_code"), b.column("item_type"), b.column("text"), pa.array(number, pa.int32()), pa.array(led, pa.int64())], names=["doc_code", "item_type", "text", "cluster_no", "leader_ord"])
+
+    by = [F.col("doc_code").asc_nulls_first(), F.col("item_type").asc_nulls_first(), F.col("has_id").desc(), F.col("confidence").desc(), F.length("text").desc(), F.col("ord")]
+    each = distinct.repartition("doc_code", "item_type").sortWithinPartitions(*by).mapInArrow(cluster, "doc_code string, item_type string, text string, cluster_no int, leader_ord long")
     same = F.col("i.doc_code").eqNullSafe(F.col("c.doc_code")) & F.col("i.item_type").eqNullSafe(F.col("c.item_type")) & (F.col("i.text") == F.col("c.text"))
     return ranked.alias("i").join(each.alias("c"), same).select("i.doc_code", "i.item_type", "i.ord", "i.text", "c.cluster_no", "c.leader_ord")
 

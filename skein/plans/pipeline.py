@@ -13,6 +13,7 @@ from skein.operators.extract import with_heuristics, with_mined
 from skein.operators.items import min_confidence, quality_filter
 from skein.operators.similarity import canonical_items
 from skein.operators.stats import count_types
+from skein.session import cut
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,7 @@ def run(docs: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFram
         items = items.withColumn("item_type", F.lit("skill"))
     # one number for all documents, in order within each
     items = items.withColumn("ord", F.xxhash64("doc_code", "text", "item_type").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("ord") * F.lit(1 << 40))
+    items = cut(items)  # read three times below; small beside the texts it comes from
     good = quality_filter(items, config.strict, config.domain_bias)
     final = good
     if config.dedupe:
