@@ -127,7 +127,7 @@ def align(items: DataFrame, catalog: DataFrame, alts: int = 8) -> DataFrame:
     Pairs are joined on shared words and cut down by word similarity, which is lossless for the thresholds; only what is
     left is compared by character.
     """
-    alt = F.slice(F.filter(F.transform(F.split(F.coalesce("alt_labels", F.lit("")), ";"), F.trim), lambda x: x != ""), 1, alts)
+    alt = F.slice(F.filter(F.transform(F.split(F.coalesce("alt_labels", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), 1, alts)
     cand = catalog.where(has_id("esco_id") & filled("label").isNotNull()).select("esco_id", F.posexplode(F.concat(F.array("label"), alt)).alias("alt_no", "cand"))
     cand = cand.select("esco_id", "alt_no", match_form("cand").alias("cand")).where(F.col("cand") != "")
     query = items.select(F.col("item_type"), match_form(without_prefix("text", "item_type")).alias("q")).where(F.length("q") >= 3).distinct()

@@ -64,7 +64,7 @@ def taxonomy(spark: SparkSession, path: str, alts: int = 8) -> DataFrame:
             raise
         return spark.createDataFrame([], "esco_id string, label string, alts array<string>")
     alt = next((c for c in ("alt_labels", "alts", "altlabels") if c in df.columns), None)
-    listed = F.slice(F.filter(F.transform(F.split(F.coalesce(F.col(alt), F.lit("")), ";"), F.trim), lambda x: x != ""), 1, alts) if alt else F.array().cast("array<string>")
+    listed = F.slice(F.filter(F.transform(F.split(F.coalesce(F.col(alt), F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), 1, alts) if alt else F.array().cast("array<string>")
     return df.select(F.trim("esco_id").alias("esco_id"), F.trim("label").alias("label"), listed.alias("alts")).where((F.col("esco_id") != "") & (F.col("label") != ""))
 
 
