@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,8 @@ from skein.llm.mixture import fit, moments, posteriors, rows_of
 from skein.llm.textstats import STATS, text_stats, vector
 from skein.session import cut
 
+#: White space and characters that aren't seen.
+BLANK = re.compile(r"[\s\u00ad\u200b-\u200f\u2060-\u2064\ufeff]*")
 KINDS = ("prose", "list", "table", "junk")
 #: Common words are a short list of function words; more than this is taken for a mistake.
 WORDS_BOUND = 100_000
@@ -41,11 +44,13 @@ def measured(df: DataFrame, ident: str, text: str, words: dict[str, frozenset[st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            figures = [text_stats(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(figures, pa.list_(pa.float64())), pa.array([vector(s) for s in figures], pa.list_(pa.float64()))], names=[ident, "stats", "vector"])
+            texts = b.column(1).to_pylist()
+            filled = [t is not None and not BLANK.fullmatch(t) for t in texts]
+            figures = [text_stats(t, words) for t, f in zip(texts, filled, strict=True) if f]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(filled, pa.bool_())), pa.array(figures, pa.list_(pa.float64())), pa.array([vector(s) for s in figures], pa.list_(pa.float64()))], names=[ident, "stats", "vector"])
 
     schema = T.StructType([T.StructField(ident, df.schema[ident].dataType), T.StructField("stats", T.ArrayType(T.DoubleType())), T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    return df.where(F.regexp_replace(text, r"(?U)[\s\p{Cf}]+", "") != "").select(ident, text).mapInArrow(run, schema)
+    return df.select(ident, text).mapInArrow(run, schema)
 
 
 def text_quality(documents: DataFrame, words: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from functools import lru_cache
 from math import log
 
 #: The figures, in the order of the vectors.
@@ -13,8 +12,7 @@ STATS = (
     "n_chars", "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "words_per_segment",
     "words_per_piece", "marker_share", "cell_share", "clean_share", "packed_ratio", "vowel_share", "longest_token", "distinct_lines", "strange_share", "stop_share", "prose_share",
 )
-WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"\S+")
+WORD, PLAIN_WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
 CLEAN = re.compile(r"[(\"'“„«¿¡]*(?:[^\W\d_]+(?:['’-][^\W\d_]+)*-?|\d{1,4}(?:[.:]\d\d)?)[)\"'”“»]*[.,;:!?]*[)\"'”“»]*\Z")
 MARKER = re.compile(r"\s*(?:[-+*•★●▪◦–→·»>#]\s|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s|\d+(?:\.\d+)+\.?\s|\d{1,3}\s[-–]\s)")
 LEADER = re.compile(r"(?:\.{4,}|(?: \.){4,})\s*\d+\s*\Z")
@@ -26,14 +24,21 @@ END = re.compile(r"[.!?:;…][\"'”»)]*\s*\Z")
 STRANGE = re.compile(r"[^\w\s.,;:!?'\"()\[\]{}<>/|+*=&%$#@~^`\\_’‘“”„«»–—•★…¿¡°§€-]|[ÃÂâ][^\w\s]|[ÃÂ][ -¿]|â€")
 #: Words from which a segment can be a sentence.
 SENTENCE = 8
-VOWELS = "aeiouy"
+VOWELS = b"aeiouyAEIOUY"
 MORE_VOWELS = "àáâäãåæèéêëìíîïòóôöõœùúûü"
 
 
-@lru_cache(maxsize=1 << 18)
-def is_clean(token: str) -> bool:
-    """Whether a token is a word or a short number with nothing but marks around it."""
-    return CLEAN.match(token) is not None
+class _Clean(dict):
+    """Whether a token is a word or a short number with nothing but marks around it; starts anew when it has grown large."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[token] = got = CLEAN.match(token) is not None
+        return got
+
+
+_clean = _Clean()
 
 
 def marks(lines: list[str]) -> int:
@@ -95,12 +100,12 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> list[float]:
     """
     size = len(text)
     low = text.lower()
-    words = WORD.findall(low)
+    plain = text.isascii()
+    words = (PLAIN_WORD if plain else WORD).findall(low)
     n = len(words)
     flat, lines = unwrapped(text)
     tokens = text.split()
     letters = sum(map(len, words))
-    digits = sum(map(low.count, "0123456789"))
     spaces = size - sum(map(len, tokens))
     counts = Counter(words)
     share = max((sum(counts[w] for w in c if w in counts) for c in common.values()), default=0) / n if n else 0.0
@@ -118,12 +123,16 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> list[float]:
                 running += k
     pieces = sum(1 for p in spread.translate(PIECES).replace("  ", "\n").replace(" / ", "\n").split("\n") if p and not p.isspace())
     raw = text.encode("utf-8", "surrogatepass")
-    plain = text.isascii()
-    vowels = sum(map(low.count, VOWELS if plain else VOWELS + MORE_VOWELS))
+    digits = len(raw) - len(raw.translate(None, b"0123456789"))
+    vowels = len(raw) - len(raw.translate(None, VOWELS)) + (0 if plain else sum(map(low.count, MORE_VOWELS)))
     ended = sum(1 for x in lines if x[-1] in ".!?" or END.search(x[-6:]))
     kinds = Counter(tokens)
-    stops = sum(k for t, k in kinds.items() if t[-1] in ".!?")
-    clean = sum(k for t, k in kinds.items() if is_clean(t))
+    stops = clean = 0
+    for t, k in kinds.items():
+        if t[-1] in ".!?":
+            stops += k
+        if _clean[t]:
+            clean += k
     return [
         float(size), float(n), letters / n if n else 0.0, (size - letters - digits - spaces) / max(1, size - spaces), digits / max(1, size - spaces), ended / max(1, len(lines)), share,
         squares / max(1, total), len(tokens) / max(1, pieces), marks(lines) / max(1, len(lines)), cell_share(lines),
