@@ -16,6 +16,8 @@ from skein.session import cut
 
 #: Residual records that one task of the reduction tree joins at most, a source.
 FAN_IN = 64
+#: Up to so many sources with a target their plan is broadcast.
+SOURCES_BOUND = 100_000
 
 
 def pivot(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
@@ -101,9 +103,12 @@ def mix(sized: DataFrame, targets: DataFrame, ident: str = "doc_id", seed: int =
     plan = plan.withColumn("wanted", F.col("target_share") * F.sum("available").over(Window.partitionBy()))  # a row a source
     plan = plan.withColumn("uses", F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_uses").cast("double"))).otherwise(F.lit(0.0)))
     plan = cut(plan)  # as many rows as there are sources with a target
+    uses = plan.select("source", "uses")
+    if plan.count() <= SOURCES_BOUND:  # so a source with a third of all rows stays where it is; beyond, AQE splits it
+        uses = F.broadcast(uses)
 
     whole = F.floor(F.col("uses") + 1e-9)
-    rows = sized.select(ident, "source", "tokens").where(F.col("tokens") > 0).join(plan.select("source", "uses"), "source")
+    rows = sized.select(ident, "source", "tokens").where(F.col("tokens") > 0).join(uses, "source")
     rows = rows.select(
         F.col(ident), "source", F.col("tokens").cast("long").alias("tokens"), whole.cast("int").alias("_whole"),
         F.greatest(F.col("uses") - whole, F.lit(0.0)).alias("_p"), F.xxhash64(ident, F.lit(seed)).alias("_draw"),
