@@ -39,7 +39,10 @@ def _numbered(hits: Column, **more: Column) -> Column:
 
 def _verb_array(shape: Column, most: int) -> Column:
     """The first ``most`` verb phrases of a shaped text: vord, pos, phrase."""
-    each = [_numbered(F.regexp_extract_all(shape, F.lit(rf"\b{v}(?:s|es|ing)?\s+([a-z]+\s+[a-z]+(?:\s+[a-z]+){{0,2}})\b"), F.lit(1)), vord=F.lit(i), verb=F.lit(v)) for i, v in enumerate(VERBS)]
+    none = F.array().cast("array<string>")
+    # a plain search first: most texts lack most verbs
+    hits = {v: F.when(shape.contains(v), F.regexp_extract_all(shape, F.lit(rf"\b{v}(?:s|es|ing)?\s+([a-z]+\s+[a-z]+(?:\s+[a-z]+){{0,2}})\b"), F.lit(1))).otherwise(none) for v in VERBS}
+    each = [_numbered(h, vord=F.lit(i), verb=F.lit(v)) for i, (v, h) in enumerate(hits.items())]
     good = F.filter(F.flatten(F.array(*each)), lambda x: (F.length(F.trim(x["hit"])) > 15) & ~x["hit"].rlike("|".join(FILLERS)))
     phrase = lambda x: F.regexp_replace(F.concat(x["verb"], F.lit(" "), x["hit"]), r"\s+(and|or|the|for|with|from)$", "")
     return F.transform(F.slice(good, 1, most), lambda x: F.struct(x["vord"].alias("vord"), x["pos"].alias("pos"), phrase(x).alias("phrase")))
@@ -50,7 +53,7 @@ def _domain_array(shape: Column) -> Column:
     each = []
     for i, w in enumerate(DOMAIN_WORDS):
         rx = rf"\b([a-z]+\s+){w}(\s+[a-z]+)?\b"
-        around = F.trim(F.concat(F.regexp_extract(shape, rx, 1), F.coalesce(F.regexp_extract(shape, rx, 2), F.lit(""))))
+        around = F.when(shape.contains(w), F.trim(F.concat(F.regexp_extract(shape, rx, 1), F.coalesce(F.regexp_extract(shape, rx, 2), F.lit(""))))).otherwise(F.lit(""))
         each.append(F.struct(F.lit(i).alias("word_no"), around.alias("phrase")))
     return F.filter(F.array(*each), lambda x: F.length(x["phrase"]).between(15, 60) & ~x["phrase"].contains("  "))
 
