@@ -6,7 +6,6 @@ import base64
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,7 +22,6 @@ PART = 200_000
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
-@lru_cache(maxsize=2)
 def encoder(raw: bytes) -> Callable[[str], int]:
     """A function that counts a text's tokens, for the bytes of a rank file."""
     import tiktoken
