@@ -84,12 +84,10 @@ def chat_template(model: Column, prompt: Column) -> Column:
     )
 
 
-def existing_block(items: DataFrame, most: int = 200) -> DataFrame:
-    """What each document has already, one line an item in order: doc_code, existing. Beyond ``most`` items the rest is counted only."""
-    from skein.operators.items import top_rows
-
+def existing_block(items: DataFrame) -> DataFrame:
+    """Everything each document has already, one line an item in order: doc_code, existing. Lists are collected in part before the shuffle."""
     line = F.concat(F.lit("- ["), F.initcap("item_type"), F.lit("] "), "text")
-    listed = top_rows(items, ["doc_code"], [F.col("ord")], most).groupBy("doc_code").agg(F.array_sort(F.collect_list(F.struct("rank_no", line.alias("line")))).alias("x"))
+    listed = items.groupBy("doc_code").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("x"))
     return listed.select("doc_code", F.array_join(F.col("x.line"), "\n").alias("existing"))
 
 

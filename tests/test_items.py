@@ -91,6 +91,12 @@ def test_sanitize_parse_and_guard(spark):
     assert {(r.item_type, r.text) for r in P.parsed(tagged).collect()} == {("knowledge", "of x"), ("ability", "Ability to y")}
 
 
+def test_existing_block_lists_every_item(spark):
+    rows = [("a", i, f"item {i}", "skill" if i % 2 else "knowledge", 0.5, None) for i in range(1000)] + [("b", 5, "maps", "ability", 0.5, None)]
+    got = {r.doc_code: r.existing for r in P.existing_block(frame(spark, rows).repartition(5)).collect()}
+    assert got == {"a": "\n".join(f"- [{'Skill' if i % 2 else 'Knowledge'}] item {i}" for i in range(1000)), "b": "- [Ability] maps"}
+
+
 def test_provider_fallback(spark):
     def fails(prompts):
         raise TimeoutError
