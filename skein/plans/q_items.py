@@ -12,6 +12,7 @@ from skein.operators import items as I
 from skein.operators import providers as P
 from skein.operators import similarity as M
 from skein.operators import stats as A
+from skein.operators.clean import clean_text
 from skein.plans import sql as S
 from skein.plans.q_text import CANON_MAP, _canon, _form
 from skein.sources.tables import table
@@ -461,8 +462,12 @@ def x13_model_lines(spark, d):
 
 @query()
 def x06_s12_provider_with_cache(spark, d):
-    """Every document's text put to a provider, whose replies go to a cache that the second call finds full."""
-    docs = table(spark, d, "afsc_doc").where(F.col("raw_text").isNotNull()).select("afsc_doc_id", P.cache_key("x", F.coalesce("code", F.lit("")), F.col("raw_text")).alias("key"), F.left("raw_text", F.lit(P.PROMPT_TEXT)).alias("prompt"))
+    """Every document's whole cleaned text put to a provider, whose replies go to a cache that the second call finds full.
+
+    The key is of the whole text, so that no document gets the reply to another that only begins as it does.
+    """
+    key = F.concat_ws("_", F.lit("x"), F.coalesce("code", F.lit("")), F.md5("raw_text"))
+    docs = table(spark, d, "afsc_doc").where(F.col("raw_text").isNotNull()).select("afsc_doc_id", key.alias("key"), clean_text("raw_text").alias("prompt"))
     empty = spark.createDataFrame([], "key string, reply string")
     ask = lambda df: P.asked(df, "prompt", {"openai": P.stub}, "openai")
     _, cache = P.with_cache(docs, empty, "key", ask)

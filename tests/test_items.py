@@ -107,6 +107,16 @@ def test_provider_fallback(spark):
     assert got[2].reply is None
 
 
+def test_provider_gets_the_whole_text(spark, tmp_path, monkeypatch):
+    from skein.plans import q_items
+
+    monkeypatch.setattr(P, "stub", lambda prompts: [f"{len(p)} {p[-4:]}" for p in prompts])
+    texts = ["radar sets " * 1000 + "tail", "radar sets " * 1000 + "ends"]
+    spark.createDataFrame([(i, "1N0X1", t) for i, t in enumerate(texts)], "afsc_doc_id long, code string, raw_text string").write.parquet(str(tmp_path / "afsc_doc.parquet"))
+    got = {r.afsc_doc_id: r.reply for r in q_items.x06_s12_provider_with_cache(spark, str(tmp_path)).collect()}
+    assert got == {0: "11004 tail", 1: "11004 ends"}
+
+
 def test_sample_is_stable_and_capped(spark):
     df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(60)], "s string, i long")
     one = sorted(map(tuple, A.hash_sample(df, "s", F.col("i"), 7).collect()))
