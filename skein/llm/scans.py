@@ -40,11 +40,13 @@ LETTERS = re.compile(r"[^\W\d_]")
 WORDLIKE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*-?\Z")
 #: A line longer than this is no header; a key shorter says too little.
 LINE_MOST, KEY_LEAST = 110, 6
-#: A header is a line that comes back in so many documents or more, stands at the edge of a page this often, and is
+#: A header is a line that comes back within documents or in so many documents or more, stands at the edge of a page this often, and is
 #: found in trusted texts at most this often for each time it is found in a scan.
 DOCS_LEAST, AT_EDGE, IN_TRUSTED = 3, 0.6, 0.02
-#: Share of a header's letters in words the trusted texts don't have, unless it comes back in FREQUENT documents.
-UNKNOWN, FREQUENT = 0.3, 40
+#: A line seen this often for each document it is in comes back from page to page: a header in however few documents.
+#: One that stands once in each of its documents needs DOCS_LEAST of these, and this share of its letters in words the
+#: trusted texts don't have or FREQUENT documents.
+AGAIN, UNKNOWN, FREQUENT = 1.2, 0.3, 40
 #: The vocabulary keeps words seen this often; so it has at most (words of all texts) / MIN_COUNT entries, and is sent
 #: to the workers only up to VOCABULARY_BOUND (some 200 MB); beyond, rarer words are left out step by step.
 MIN_COUNT, VOCABULARY_BOUND, HEADS_BOUND = 2, 1_000_000, 100_000
@@ -118,8 +120,13 @@ def _pages(text: str, lines: list[str], first: int | None, last: int | None) ->
     return found
 
 
-def _edge_lines(text: str, first: int | None, last: int | None) -> Iterator[tuple[str, str, bool]]:
-    """Key, text and whether it stands at a page's edge, of each line that could be a header or footer."""
+def _own(title: str | None) -> set[str]:
+    """Keys of a document's own title."""
+    return {line_key(title), line_key("AFSC " + title)} - {""} if title else set()
+
+
+def _edge_lines(text: str, title: str | None, first: int | None, last: int | None) -> Iterator[tuple[str, str, bool, bool]]:
+    """Key, text, whether it stands at a page's edge, and whether it is the document's title (its first line, if it has none), of each line that could be a header or footer."""
     lines = split_lines(text)
     raw = text.split("\n")
     pages = _pages(text, lines, first, last)
@@ -129,11 +136,12 @@ def _edge_lines(text: str, first: int | None, last: int | None) -> Iterator[tupl
     for i, x in enumerate(raw):
         if "\f" in x:
             at_edge |= {i - 1, i, i + 1}
+    own = _own(title) or {line_key(next((x for i, x in enumerate(lines) if x and i not in pages), ""))}
     for i, line in enumerate(lines):
         if line and len(line) <= LINE_MOST and i not in pages and line[-1] not in ".,;:!?" and not line[0].islower():
             key = line_key(line)
             if len(key) >= KEY_LEAST:
-                yield key, line, i in at_edge
+                yield key, line, i in at_edge, key in own
 
 
 def _hash(key: str) -> int:
@@ -141,7 +149,9 @@ def _hash(key: str) -> int:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines at page edges that come back: key, sample, n_docs, n_trusted.
+    """Lines at page edges that come back: key, sample, n_docs, n_trusted, and whether from page to page (again).
+
+    A document's own title isn't counted as coming back in it.
 
     Counts are added up inside every batch first; what is shuffled is a hash and four numbers, and a line's text only
     where it stands at an edge.
@@ -149,11 +159,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
             texts: dict[int, tuple[str, str]] = {}
-            for raw, trusted, first, last in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for raw, trusted, title, first, last in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 seen = set()
-                for key, line, edge in _edge_lines(raw, first, last):
+                for key, line, edge, own in _edge_lines(raw, title, first, last):
                     h = _hash(key)
                     s = sums[h]
                     if trusted:
@@ -162,18 +172,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                         s[0] += h not in seen
                         s[1] += 1
                         s[2] += edge
+                        s[4] += edge and not own and h in seen
                         if edge:
                             texts[h] = (key, line)
                     seen.add(h)
             hs = list(sums)
-            cols = [pa.array(hs, pa.int64()), *(pa.array([sums[h][i] for h in hs], pa.int64()) for i in range(4)), *(pa.array([texts[h][i] if h in texts else None for h in hs], pa.string()) for i in range(2))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "n_docs", "n_seen", "n_edge", "n_trusted", "key", "sample"])
+            cols = [pa.array(hs, pa.int64()), *(pa.array([sums[h][i] for h in hs], pa.int64()) for i in range(5)), *(pa.array([texts[h][i] if h in texts else None for h in hs], pa.string()) for i in range(2))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "n_docs", "n_seen", "n_edge", "n_trusted", "n_again", "key", "sample"])
 
-    rows = docs.where(F.col("raw_text").isNotNull()).select("raw_text", F.col("clean_text").isNotNull(), "page_start", "page_end")
-    counted = rows.mapInArrow(run, "h long, n_docs long, n_seen long, n_edge long, n_trusted long, key string, sample string")
-    sums = counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_seen", "n_edge", "n_trusted")], F.max(F.struct("key", "sample")).alias("t"))
-    again = (F.col("n_docs") >= DOCS_LEAST) & (F.col("n_edge") >= AT_EDGE * F.col("n_seen")) & (F.col("n_trusted") <= IN_TRUSTED * F.col("n_docs"))
-    return sums.where(again).select("t.key", "t.sample", "n_docs", "n_trusted")
+    rows = docs.where(F.col("raw_text").isNotNull()).select("raw_text", F.col("clean_text").isNotNull(), "title", "page_start", "page_end")
+    counted = rows.mapInArrow(run, "h long, n_docs long, n_seen long, n_edge long, n_trusted long, n_again long, key string, sample string")
+    sums = counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_seen", "n_edge", "n_trusted", "n_again")], F.max(F.struct("key", "sample")).alias("t"))
+    again = F.col("n_again") >= (AGAIN - 1) * F.col("n_docs")
+    rare = (F.col("n_docs") > 0) & (F.col("n_edge") >= AT_EDGE * F.col("n_seen")) & (F.col("n_trusted") <= IN_TRUSTED * F.col("n_docs"))
+    return sums.where(rare & (again | (F.col("n_docs") >= DOCS_LEAST))).select("t.key", "t.sample", "n_docs", "n_trusted", again.alias("again"))
 
 
 def trusted_words(docs: DataFrame) -> DataFrame:
@@ -236,7 +248,7 @@ def known(docs: DataFrame) -> Known:
         tokens = [t for t in tokens if LETTERS.search(t)]
         letters = sum(map(len, tokens))
         strange = sum(len(t) for t in tokens if k.meant(t) is None)
-        if r["n_docs"] >= FREQUENT or (letters and strange / letters >= UNKNOWN):
+        if r["again"] or r["n_docs"] >= FREQUENT or (letters and strange / letters >= UNKNOWN):
             k.heads.add(r["key"])
     halves: dict[str, set[str]] = defaultdict(set)
     for h in k.heads:
@@ -251,7 +263,7 @@ def furniture(text: str, title: str | None, first: int | None, last: int | None,
     """Places of the lines that are no body text, as ``page``, ``head`` or ``title``."""
     lines = split_lines(text)
     out = dict.fromkeys(_pages(text, lines, first, last), "page")
-    own = {line_key(title), line_key("AFSC " + title)} - {""} if title else set()
+    own = _own(title)
     began = titled = False
     for i, line in enumerate(lines):
         if not line or i in out:

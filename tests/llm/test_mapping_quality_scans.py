@@ -111,6 +111,18 @@ def test_scans_from_corpus(spark):
     assert scans.repairs(df.limit(0)).count() == 0
 
 
+def test_headers_of_ordinary_words_at_any_size(spark):
+    body = "The crew checks the copper kettles in the barn and reports what has to be repaired. "
+    for n in (1, 3, 20):
+        rows = [(i, "Barn Keeper", body * 3, body * 3, None, None) for i in range(6)]
+        for i in range(100, 100 + n):
+            rows.append((i, "Barn Keeper", f"Barn Keeper\nThe crew checks the cop-\nThe copper barn\n{i}\nper kettles in the barn and reports what has\nThe copper barn\n{i + 1}\nBarn Keeper\nto be repaired.", None, i, i + 1))
+        df = spark.createDataFrame(rows, "afsc_doc_id long, title string, raw_text string, clean_text string, page_start int, page_end int")
+        assert [(r.n_docs, r.again) for r in scans.repeated_lines(df).where("again").collect()] == [(n, True)]
+        texts = {r.afsc_doc_id: r.clean_text for r in scans.repaired(df).collect()}
+        assert set(texts.values()) == {body.strip()} and len(texts) == n
+
+
 def test_queries_run(spark):
     from pathlib import Path
 
