@@ -49,6 +49,7 @@ DOCS_LEAST, AT_EDGE, IN_TRUSTED = 3, 0.6, 0.02
 AGAIN, UNKNOWN, FREQUENT = 1.2, 0.3, 40
 #: The vocabulary keeps words seen this often; so it has at most (words of all texts) / MIN_COUNT entries, and is sent
 #: to the workers only up to VOCABULARY_BOUND (some 200 MB); beyond, rarer words are left out step by step.
+#: More than HEADS_BOUND repeated lines are an error.
 MIN_COUNT, VOCABULARY_BOUND, HEADS_BOUND = 2, 1_000_000, 100_000
 
 
@@ -242,7 +243,9 @@ def known(docs: DataFrame) -> Known:
         least *= 2
         rows = words.where(F.col("n") >= least).limit(VOCABULARY_BOUND + 1).collect()
     k = Known({r["word"]: r["n"] for r in rows})
-    found = repeated_lines(docs).orderBy(F.col("n_docs").desc()).limit(HEADS_BOUND).collect()
+    found = repeated_lines(docs).limit(HEADS_BOUND + 1).collect()
+    if len(found) > HEADS_BOUND:
+        raise ValueError(f"more than {HEADS_BOUND} lines come back at page edges")
     for r in found:
         tokens = [t.strip(EDGE).lower() for t in r["sample"].split()]
         tokens = [t for t in tokens if LETTERS.search(t)]

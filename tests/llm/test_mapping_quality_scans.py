@@ -123,6 +123,15 @@ def test_headers_of_ordinary_words_at_any_size(spark):
         assert set(texts.values()) == {body.strip()} and len(texts) == n
 
 
+def test_too_many_repeated_lines_are_an_error(spark, monkeypatch):
+    rows = [(i, "T", f"Copper barn\nword\n{i}\nCopper barn\nword", None, i, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "afsc_doc_id long, title string, raw_text string, clean_text string, page_start int, page_end int")
+    assert len(scans.known(df).heads) == 1
+    monkeypatch.setattr(scans, "HEADS_BOUND", 0)
+    with pytest.raises(ValueError):
+        scans.known(df)
+
+
 def test_queries_run(spark):
     from pathlib import Path
 
