@@ -278,11 +278,27 @@ def x18_classified(spark, d):
     return table(spark, d, "ksa_item").where(F.col("name").isNotNull()).select("item_id", extract.classified("name").alias("class"))
 
 
+#: A code of these tables: as headers have it, with a suffix.
+SUFFIXED_CODE = rf"{extract.SECTION_CODE}(?:-[0-9A-Z]+)?"
+
+
 @query()
 def x19_sections(spark, d):
-    """All records of a source file in one text under header lines, split again."""
-    docs = table(spark, d, "afsc_doc").select("afsc_doc_id", F.concat_ws("", F.lit("AFSC "), F.regexp_extract("code", r"^([0-9A-Z]{2,6})", 1), F.lit(", "), F.coalesce(F.nullif("title", F.lit("")), F.lit("untitled")), F.lit("\n"), F.coalesce("clean_text", "raw_text", F.lit(""))).alias("text"))
-    return extract.split_sections(docs, "afsc_doc_id", "text")
+    """All records of a source file in one text under header lines, in order of pages, split again and held against the records.
+
+    One row a section or record: source_pdf, sec_no, afsc_doc_id of the record in this place, code, title, section, and
+    whether these are the record's (same). Codes are whole, with their suffix. Records without a file or a code can't be
+    put under a header with others and are left out; two control characters that the splitter uses become blanks.
+    """
+    body = F.regexp_replace(F.coalesce("clean_text", "raw_text", F.lit("")), "[\u0001\u0002]", " ")
+    title = T.squeeze(F.coalesce("title", F.lit("")))
+    record = F.struct(F.coalesce("page_start", F.lit(1 << 30)).alias("page"), "afsc_doc_id", T.strip("code").alias("code"), F.when(title == "", "untitled").otherwise(title).alias("title"), T.strip(body).alias("section"))
+    files = table(spark, d, "afsc_doc").where(F.col("source_pdf").isNotNull() & F.col("code").isNotNull()).groupBy("source_pdf").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    whole = F.array_join(F.transform("records", lambda r: F.concat(F.lit("AFSC "), r["code"], F.lit(", "), r["title"], F.lit("\n"), r["section"])), "\n\n")
+    split = extract.split_sections(files.select("source_pdf", whole.alias("text")), "source_pdf", "text", SUFFIXED_CODE)
+    put = files.select("source_pdf", F.posexplode("records")).select("source_pdf", F.col("pos").alias("sec_no"), "col.afsc_doc_id", F.struct("col.code", "col.title", "col.section").alias("_r"))
+    same = F.struct("code", "title", "section").eqNullSafe(F.col("_r"))
+    return split.join(put, ["source_pdf", "sec_no"], "full").select("source_pdf", "sec_no", "afsc_doc_id", "code", "title", "section", same.alias("same"))
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)shift')) AS INTEGER) AS n_matches FROM documents WHERE contains(lower(text), 'shift')""")

@@ -83,6 +83,18 @@ def test_sections(spark):
     assert got == {(1, 0, "11F3X", "Pilot, Senior", "body one"), (1, 1, "12B3X", "Nav", "body two"), (3, 0, "1N0X1", "", "loose text")}
 
 
+def test_sections_of_whole_files(spark, tmp_path):
+    from skein.plans import q_text
+
+    rows = [(1, "4F0X1-TNFVR", "Late", "f", 9, None, "raw  body\n\nAFSC LOOSE WORDS\n1. More"), (2, "4F0X1-AB123", None, "f", 2, "clean", "x"), (3, "1N0X1", "Other", "g", None, None, None), (4, "4F0X1-TNFVR", "Last", "f", None, "", "y"), (5, "11F3", "A, B", "f", 2, "again", None)]
+    spark.createDataFrame(rows, "afsc_doc_id long, code string, title string, source_pdf string, page_start int, clean_text string, raw_text string").write.parquet(str(tmp_path / "afsc_doc.parquet"))
+    got = sorted(tuple(r) for r in q_text.x19_sections(spark, str(tmp_path)).collect())
+    assert got == [
+        ("f", 0, 2, "4F0X1-AB123", "untitled", "clean", True), ("f", 1, 5, "11F3", "A, B", "again", True), ("f", 2, 1, "4F0X1-TNFVR", "Late", "raw  body\n\nAFSC LOOSE WORDS\n1. More", True),
+        ("f", 3, 4, "4F0X1-TNFVR", "Last", "", True), ("g", 0, 3, "1N0X1", "Other", "", True),
+    ]
+
+
 def test_search_matches_places(spark):
     text = "Radar here, radar there"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "none")], "d long, t string")
