@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import col, filled, strip
 from skein.operators.clean import item_form
-from skein.operators.items import first_wins
+from skein.operators.extract import ABILITY_VERBS, with_heuristics, with_mined
+from skein.operators.items import first_wins, top_rows
+from skein.session import cut
 
 #: A provider answers a batch of prompts; None where it fails.
 Provider = Callable[[list[str]], list[str | None]]
@@ -133,3 +135,31 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, ask: Callable[[DataFra
     fresh = missing.where(F.col("reply").isNotNull()).select(key, "reply")
     once = fresh.groupBy(key).agg(F.min("reply").alias("reply"))
     return df.join(cache.unionByName(once), key, "left"), once
+
+
+def or_mined(replies: DataFrame, text: str, reply: str = "reply") -> DataFrame:
+    """``replies`` with ``source``; where no provider answered, the reply is the lines mined from the text, as :func:`with_mined` has them."""
+    none = filled(reply).isNull()
+    df = with_mined(replies.withColumn("_t", F.when(none, F.coalesce(text, F.lit(""))).otherwise("")), "_t")
+    return df.withColumns({reply: F.when(none, F.array_join("mined.text", "\n")).otherwise(col(reply)), "source": F.when(none, F.col("mined")[0]["source"]).otherwise("provider")}).drop("_t", "mined")
+
+
+def enhanced(docs: DataFrame, items: DataFrame, providers: dict[str, Provider], first: str) -> DataFrame:
+    """New items of ``docs`` (doc_code, text): doc_code, item_type, text, confidence.
+
+    Of each reply the first new lines; where no provider answered, abilities from the first two skills with a fitting verb
+    if the document has none, and knowledge from its first three topics likewise. Each prompt is put once: replies are cut.
+    """
+    n = lambda k: F.count_if(F.col("item_type") == k)
+    fits = (F.col("item_type") == "skill") & F.lower(F.split("text", " ")[0]).isin(*ABILITY_VERBS)
+    fit = F.slice(F.array_sort(F.collect_list(F.when(fits, F.struct("ord", "text")))), 1, 2)
+    facts = items.groupBy("doc_code").agg(balance_hint(n("knowledge"), n("ability")).alias("hint"), (n("knowledge") > 0).alias("has_k"), F.when(n("ability") == 0, fit).alias("fit"))
+    known = docs.join(existing_block(items), "doc_code", "left").join(facts, "doc_code", "left")
+    prompt = prompt_of(F.coalesce("text", F.lit("")), F.col("existing"), F.coalesce("hint", F.lit(HINTS["none"])))
+    none = filled("reply").isNull()
+    kept = [F.when(none, F.coalesce("text", F.lit(""))).alias("text"), F.when(none, F.col("fit")).alias("fit"), "has_k"]
+    replies = cut(asked(known.select("doc_code", "text", "has_k", "fit", prompt.alias("prompt")), "prompt", providers, first).select("doc_code", "reply", *kept))
+    new = top_rows(parsed(new_only(sanitized(replies, "doc_code", "reply"), items)), ["doc_code"], [F.col("ord")], NEW_ITEMS).select("doc_code", "item_type", "text", F.lit(CONFIDENCE).alias("confidence"))
+    failed = with_heuristics(replies.where(none).withColumn("mined", F.coalesce("fit", F.array().cast(replies.schema["fit"].dataType))), "text")
+    more = F.filter("more", lambda x: (x["item_type"] == "ability") | ~F.coalesce("has_k", F.lit(False)))
+    return new.unionByName(failed.select("doc_code", F.inline(more)).select("doc_code", "item_type", "text", "confidence"))

@@ -433,15 +433,9 @@ def l15_cache_key(spark, d):
 
 @query()
 def l01_l14_enhanced(spark, d):
-    """Prompts of all documents with items, put to the stub, its replies read and held against what is there."""
-    i = I.quality_filter(_items(spark, d))
-    n = lambda k: F.count_if(F.col("item_type") == k)
-    hint = i.groupBy("doc_code").agg(P.balance_hint(n("knowledge"), n("ability")).alias("hint"))
+    """Prompts of all documents with items, put to the stub, its replies read and held against what is there; heuristics where it gives none."""
     text = table(spark, d, "afsc_doc").groupBy(F.col("code").alias("doc_code")).agg(F.max_by(F.coalesce("clean_text", "raw_text"), F.struct("loaded_at", "afsc_doc_id")).alias("text"))
-    prompts = text.join(P.existing_block(i), "doc_code", "left").join(hint, "doc_code", "left").select("doc_code", P.prompt_of(F.coalesce("text", F.lit("")), F.col("existing"), F.coalesce("hint", F.lit(P.HINTS["none"]))).alias("prompt"))
-    lines = P.sanitized(P.asked(prompts, "prompt", {"openai": P.stub}, "openai"), "doc_code", "reply")
-    new = I.top_rows(P.parsed(P.new_only(lines, i)), ["doc_code"], [F.col("ord")], P.NEW_ITEMS)
-    return new.select("doc_code", "item_type", "text", F.lit(P.CONFIDENCE).alias("confidence"))
+    return P.enhanced(text, I.quality_filter(_items(spark, d)), {"openai": P.stub}, "openai")
 
 
 @query(S.with_items("""SELECT doc_code, 'Inferred from skills: ' || string_agg(text, ', ' ORDER BY k) AS evidence, list(text ORDER BY k)[1] AS first_parent FROM
@@ -464,7 +458,8 @@ def x13_model_lines(spark, d):
 def x06_s12_provider_with_cache(spark, d):
     """Every document's whole cleaned text put to a provider, whose replies go to a cache that the second call finds full.
 
-    The key is of the whole text, so that no document gets the reply to another that only begins as it does.
+    The key is of the whole text, so that no document gets the reply to another that only begins as it does. Where the
+    provider gives none, items mined from the text stand in; these aren't kept in the cache.
     """
     key = F.concat_ws("_", F.lit("x"), F.coalesce("code", F.lit("")), F.md5("raw_text"))
     docs = table(spark, d, "afsc_doc").where(F.col("raw_text").isNotNull()).select("afsc_doc_id", key.alias("key"), clean_text("raw_text").alias("prompt"))
@@ -472,7 +467,7 @@ def x06_s12_provider_with_cache(spark, d):
     ask = lambda df: P.asked(df, "prompt", {"openai": P.stub}, "openai")
     _, cache = P.with_cache(docs, empty, "key", ask)
     replies, _ = P.with_cache(docs, cache, "key", ask)
-    return replies.select("afsc_doc_id", "key", "reply")
+    return P.or_mined(replies, "prompt").select("afsc_doc_id", "key", "reply", "source")
 
 
 # vectors

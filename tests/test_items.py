@@ -117,6 +117,22 @@ def test_provider_gets_the_whole_text(spark, tmp_path, monkeypatch):
     assert got == {0: "11004 tail", 1: "11004 ends"}
 
 
+def test_without_reply_mined_items_and_heuristics_stand_in(spark):
+    def fails(prompts):
+        raise TimeoutError
+
+    text = "They analyze enemy radar signals daily. Radar Maintenance is taught."
+    docs = spark.createDataFrame([("a", text), ("b", ""), ("c", text), ("d", None)], "doc_code string, text string")
+    r = docs.withColumn("reply", F.when(F.col("doc_code") == "c", "said"))
+    got = {x.doc_code: (x.reply, x.source) for x in P.or_mined(r, "text").collect()}
+    generic = ("intelligence analysis\ndata processing", "fallback-generic")
+    assert got == {"a": ("analyze enemy radar signals daily", "fallback-pattern"), "b": generic, "c": ("said", "provider"), "d": generic}
+    have = [("a", 9, "Brief crews", "skill", 0.5, None), ("a", 3, "analyze signals", "skill", 0.5, None), ("a", 4, "assess maps", "skill", 0.5, None), ("c", 1, "maps", "knowledge", 0.5, None), ("c", 2, "sight", "ability", 0.5, None), ("c", 3, "assess maps", "skill", 0.5, None)]
+    out = {(x.doc_code, x.item_type, x.text, x.confidence) for x in P.enhanced(docs, frame(spark, have), {"openai": fails}, "openai").collect()}
+    know = {("a", "knowledge", f"Knowledge of {t}", 0.55) for t in ("They", "Radar Maintenance")}
+    assert out == know | {("a", "ability", f"Ability to {t}", 0.55) for t in ("analyze signals", "assess maps")}
+
+
 def test_sample_is_stable_and_capped(spark):
     df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(60)], "s string, i long")
     one = sorted(map(tuple, A.hash_sample(df, "s", F.col("i"), 7).collect()))
