@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from skein.functions.text import col, filled, match_form, tokens
 from skein.operators.clean import without_prefix
 from skein.operators.items import has_id
+from skein.operators.setjoin import similarity_join
+from skein.session import cut
 
 WEIGHT_TOKENS, WEIGHT_CHARS = 0.6, 0.4
 SAME, SHORTEST = 0.86, 4
@@ -47,85 +49,99 @@ def least_jaccard(threshold: float) -> float:
     return (threshold - WEIGHT_CHARS) / WEIGHT_TOKENS
 
 
-class Leaders:
-    """The clusters of one group so far: their leaders, and which of these have which word."""
-
-    def __init__(self, need: float, threshold: float) -> None:
-        self.need, self.threshold = need, threshold
-        self.forms: list[str] = []
-        self.words: list[set[str]] = []
-        self.ords: list[int] = []
-        self.having: dict[str, list[int]] = {}
-
-    def place(self, form: str, ord_: int, may_join: bool) -> tuple[int, int]:
-        """Number and leader of the cluster that an item joins, or opens."""
-        mine = set(form.split())
-        if may_join:
-            shared: dict[int, int] = {}
-            for w in mine:
-                for c in self.having.get(w, ()):
-                    shared[c] = shared.get(c, 0) + 1
-            if not mine:
-                shared = {c: 0 for c, ws in enumerate(self.words) if not ws}
-            for c in sorted(shared):
-                union = len(mine) + len(self.words[c]) - shared[c]
-                j = shared[c] / union if union else 1.0
-                if j >= self.need - 1e-9 and WEIGHT_TOKENS * j + WEIGHT_CHARS * ratio(form, self.forms[c]) >= self.threshold:
-                    return c, self.ords[c]
-        for w in mine:
-            self.having.setdefault(w, []).append(len(self.forms))
-        self.forms.append(form)
-        self.words.append(mine)
-        self.ords.append(ord_)
-        return len(self.forms) - 1, ord_
+#: Up to so many pairs that are still open one task settles them; beyond, a distributed round comes first.
+OPEN_AT_ONCE = 1_000_000
+
+
+def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (g, v) among pairs that come sorted by the place of v: v is a member if one of its earlier likes is none."""
+    members: set[tuple[str, int]] = set()
+    for b in batches:
+        got = []
+        for g, u, v in zip(*(b.column(c).to_pylist() for c in ("g", "u", "v")), strict=True):
+            if (g, u) not in members and (g, v) not in members:
+                members.add((g, v))
+                got.append((g, v))
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.string()), pa.array([v for _, v in got], pa.int64())], names=["g", "v"])
+
+
+def members_of(pairs: DataFrame) -> DataFrame:
+    """Who joins another, greedily: g, v of ``pairs`` (g, at, u, v: in group g, v is at place ``at`` and like the earlier u).
+
+    Best first, each opens a cluster unless an earlier one it is like has. All groups go on at once: in a round those with no
+    open earlier like open a cluster, and those like them become members; what is left shrinks quickly. When no more than
+    ``OPEN_AT_ONCE`` pairs are open, these are settled in order of place, with only the members' numbers kept.
+    """
+    found = None
+    pairs = cut(pairs)
+    while pairs.limit(OPEN_AT_ONCE + 1).count() > OPEN_AT_ONCE:
+        opens = pairs.select("g", F.col("u").alias("o")).distinct().join(pairs.select("g", F.col("v").alias("o")).distinct(), ["g", "o"], "left_anti")
+        joins = cut(pairs.join(opens.withColumnRenamed("o", "u"), ["g", "u"], "left_semi").select("g", "v").distinct())
+        found = joins if found is None else found.unionByName(joins)
+        pairs = cut(pairs.join(joins, ["g", "v"], "left_anti").join(joins.withColumnRenamed("v", "u"), ["g", "u"], "left_anti"))
+    rest = pairs.coalesce(1).sortWithinPartitions("g", "at", "u").mapInArrow(_settle, "g string, v long")
+    return rest if found is None else found.unionByName(rest)
 
 
 def greedy_clusters(items: DataFrame, threshold: float = SAME, shortest: int = SHORTEST) -> DataFrame:
-    """Near duplicates of a document and type joined, best first: the items with cluster_no and leader_ord.
+    """Near duplicates of a document and type joined, best first: the items (doc_code, item_type, ord, text, esco_id) with leader_ord.
+
+    Items go in order of (has id, confidence, length) descending, then ``ord`` (unique in its document and type); each joins
+    the first cluster whose leader is similar enough, texts under ``shortest`` characters never do. Null texts count as
+    empty, null and NaN confidences as 0; null codes and types are equal.
 
-    Items go in order of (has id, confidence, length) descending, then ``ord``; each joins the first cluster whose leader is
-    similar enough, texts under ``shortest`` characters never do. The order makes this sequential within a group. Exact
-    repeats are collapsed before the shuffle (they can only follow their first); Spark sorts each group on disk and it
-    streams through, only its leaders being kept; and these are looked up by shared words, so a group costs its similar
-    pairs and not its square. A null text counts as empty.
+    Texts that are equal for matching all join the same cluster, so only one of them goes on. Similar pairs come from one
+    prefix-filter join on words within the group, lossless for ``threshold``, and are compared by character in parallel; the
+    greedy order is then resolved on these pairs alone. A group costs its similar pairs and not its square, and no group is
+    gathered anywhere.
     """
-    need = least_jaccard(threshold)
-    ranked = items.select("doc_code", "item_type", "ord", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), has_id("esco_id").alias("has_id"))
-    lead = F.max(F.struct("has_id", "confidence", (-F.col("ord")).alias("neg")))
-    distinct = ranked.groupBy("doc_code", "item_type", "text").agg(lead.alias("b")).select("doc_code", "item_type", "text", (-F.col("b.neg")).alias("ord"), "b.has_id", "b.confidence", match_form("text").alias("form"))
-
-    def cluster(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        leaders = Leaders(need, threshold)
-        for b in batches:
-            number, led = [], []
-            for code, kind, text, ord_, form in zip(*(b.column(c).to_pylist() for c in ("doc_code", "item_type", "text", "ord", "form")), strict=True):
-                if (code, kind) != group:
-                    group, leaders = (code, kind), Leaders(need, threshold)
-                n, leader = leaders.place(form, ord_, len(text) >= shortest)
-                number.append(n)
-                led.append(leader)
-            yield pa.RecordBatch.from_arrays([b.column("doc_code"), b.column("item_type"), b.column("text"), pa.array(number, pa.int32()), pa.array(led, pa.int64())], names=["doc_code", "item_type", "text", "cluster_no", "leader_ord"])
-
-    by = [F.col("doc_code").asc_nulls_first(), F.col("item_type").asc_nulls_first(), F.col("has_id").desc(), F.col("confidence").desc(), F.length("text").desc(), F.col("ord")]
-    each = distinct.repartition("doc_code", "item_type").sortWithinPartitions(*by).mapInArrow(cluster, "doc_code string, item_type string, text string, cluster_no int, leader_ord long")
-    same = F.col("i.doc_code").eqNullSafe(F.col("c.doc_code")) & F.col("i.item_type").eqNullSafe(F.col("c.item_type")) & (F.col("i.text") == F.col("c.text"))
-    return ranked.alias("i").join(each.alias("c"), same).select("i.doc_code", "i.item_type", "i.ord", "i.text", "c.cluster_no", "c.leader_ord")
+    if threshold <= WEIGHT_CHARS:
+        raise ValueError(f"threshold must be above {WEIGHT_CHARS}")
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    group = F.concat(mark("doc_code"), F.lit("\u0001"), mark("item_type"))
+    conf = F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.0))
+    text = F.coalesce("text", F.lit(""))
+    place = F.struct((~has_id("esco_id")).alias("a"), (-conf).alias("b"), (-F.length("text")).alias("c"), F.col("ord").alias("d"))
+    ranked = cut(items.withColumn("text", text).select("doc_code", "item_type", group.alias("g"), "ord", "text", match_form("text").alias("form"), place.alias("at"), "esco_id"))
+    # of each form the best text that may join, and the best that only opens
+    long = F.length("text") >= shortest
+    forms = cut(ranked.groupBy("g", "form").agg(F.min(F.when(long, F.col("at"))).alias("long"), F.min(F.when(~long, F.col("at"))).alias("short")))
+    sets = forms.select("g", F.struct("form", "long", "short").alias("lid"), F.when(F.col("form") == "", F.array(F.lit(""))).otherwise(tokens("form")).alias("tokens"))
+    near = similarity_join(sets, None, least_jaccard(threshold), "g")
+    # the later of two is compared with the earlier, which may have been opened by either kind of text
+    way = lambda v, u, k: F.when(F.col(f"{u}.{k}") < F.col(f"{v}.long"), F.struct(F.col(f"{v}.long").alias("at"), F.col(f"{v}.form").alias("form"), F.col(f"{u}.{k}").alias("u"), F.col(f"{u}.form").alias("of"), F.lit(k == "short").alias("opens")))
+    both = F.array(*[way(v, u, k) for v, u in (("lid", "rid"), ("rid", "lid")) for k in ("long", "short")])
+    near = near.select("g", "jaccard", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("p")).select("g", "jaccard", "p.*")
+    score = WEIGHT_TOKENS * F.col("jaccard") + WEIGHT_CHARS * char_ratio("form", "of")
+    alike = near.withColumn("score", score).where(F.col("score") >= threshold).select("g", "at", "u", "opens")
+    own = forms.where(F.col("short") < F.col("long")).select("g", F.col("long").alias("at"), F.col("short").alias("u"), F.lit(True).alias("opens"))
+    alike = cut(alike.unionByName(own).withColumn("v", F.col("at.d")))
+    # a short text always opens: who is like an earlier one is a member at once
+    sure = alike.where("opens").select("g", "v").distinct()
+    rest = alike.where(~F.col("opens")).select("g", "at", F.col("u.d").alias("u"), "v").join(sure, ["g", "v"], "left_anti").join(sure.withColumnRenamed("v", "u"), ["g", "u"], "left_anti")
+    members = cut(sure.unionByName(members_of(rest)))
+    named = alike.where(~F.col("opens")).withColumn("_u", F.col("u.d")).join(members.withColumnRenamed("v", "_u"), ["g", "_u"], "left_anti").drop("_u")
+    leads = named.unionByName(alike.where("opens"))
+    to = leads.groupBy("g", "v").agg(F.min("u").alias("lead")).select("g", "v", F.col("lead.d").alias("led"))
+    heads = forms.where(F.col("long").isNotNull()).select("g", "form", F.col("long.d").alias("v")).join(to, ["g", "v"], "left").select("g", "form", F.coalesce("led", "v").alias("led"))
+    # short texts open a cluster each, which their own repeats join
+    opened = ranked.where(~long).groupBy("g", "text").agg(F.min("at").alias("_o")).select("g", "text", F.col("_o.d").alias("_own"))
+    out = ranked.where(long).join(heads, ["g", "form"]).select("doc_code", "item_type", "ord", "text", "esco_id", F.col("led").alias("leader_ord"))
+    return out.unionByName(ranked.where(~long).join(opened, ["g", "text"]).select("doc_code", "item_type", "ord", "text", "esco_id", F.col("_own").alias("leader_ord")))
 
 
 def canonical_items(items: DataFrame, threshold: float = SAME) -> DataFrame:
     """Of each cluster the leader, with the first id of its members where it has none, and the cluster's size."""
-    members = greedy_clusters(items, threshold).join(items.select("ord", "esco_id", "confidence"), "ord")
     ids = F.min_by(F.when(has_id("esco_id"), F.col("esco_id")), F.when(has_id("esco_id"), F.col("ord")))
-    return members.groupBy("doc_code", "item_type", "leader_ord").agg(F.max(F.when(F.col("ord") == F.col("leader_ord"), F.col("text"))).alias("text"), ids.alias("esco_id"), F.count(F.lit(1)).alias("n_members"))
+    return greedy_clusters(items, threshold).groupBy("doc_code", "item_type", "leader_ord").agg(F.max(F.when(F.col("ord") == F.col("leader_ord"), F.col("text"))).alias("text"), ids.alias("esco_id"), F.count(F.lit(1)).alias("n_members"))
 
 
 def align(items: DataFrame, catalog: DataFrame, alts: int = 8) -> DataFrame:
     """The best entry of ``catalog`` (esco_id, label, alt_labels) for each item: ord, esco_id, score.
 
     Labels count before alternatives, entries in order of id; the first best wins, if it reaches its type's threshold.
-    Pairs are joined on shared words and cut down by word similarity, which is lossless for the thresholds; only what is
-    left is compared by character.
+    Pairs come from the prefix-filter join on words, which is lossless for the thresholds; only these are compared by
+    character. Words without letters or digits make no query.
     """
     alt = F.slice(F.filter(F.transform(F.split(F.coalesce("alt_labels", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), 1, alts)
     cand = catalog.where(has_id("esco_id") & filled("label").isNotNull()).select("esco_id", F.posexplode(F.concat(F.array("label"), alt)).alias("alt_no", "cand"))
@@ -133,12 +149,10 @@ def align(items: DataFrame, catalog: DataFrame, alts: int = 8) -> DataFrame:
     query = items.select(F.col("item_type"), match_form(without_prefix("text", "item_type")).alias("q")).where(F.length("q") >= 3).distinct()
     need = F.coalesce(*[F.when(F.col("item_type") == k, F.lit(v)) for k, v in THRESHOLDS.items()], F.lit(0.90))
     lowest = least_jaccard(min(THRESHOLDS.values()))
-    a = query.select("item_type", "q", F.size(tokens("q")).alias("nq"), F.explode(tokens("q")).alias("w"))
-    b = cand.select("esco_id", "alt_no", "cand", F.size(tokens("cand")).alias("nc"), F.explode(tokens("cand")).alias("w"))
-    near = a.join(b, "w").where(F.least("nq", "nc") >= lowest * F.greatest("nq", "nc"))
-    pairs = near.groupBy("item_type", "q", "esco_id", "alt_no", "cand", "nq", "nc").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.withColumn("j", F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).where(F.col("j") >= lowest - 1e-9)
-    scored = pairs.withColumn("score", WEIGHT_TOKENS * F.col("j") + WEIGHT_CHARS * char_ratio("q", "cand")).where(F.col("score") >= need)
+    sets = lambda df, c, ident: df.select(F.col(c).alias(ident)).distinct().select(ident, tokens(ident).alias("tokens"))
+    near = similarity_join(sets(query, "q", "lid"), sets(cand, "cand", "rid"), lowest).select(F.col("lid").alias("q"), F.col("rid").alias("cand"), F.col("jaccard").alias("j"))
+    pairs = near.withColumn("ratio", char_ratio("q", "cand")).join(query, "q").join(cand, "cand")
+    scored = pairs.withColumn("score", WEIGHT_TOKENS * F.col("j") + WEIGHT_CHARS * F.col("ratio")).where(F.col("score") >= need)
     best = scored.groupBy("item_type", "q").agg(F.min(F.struct((-F.col("score")).alias("s"), "alt_no", "esco_id")).alias("b")).select("item_type", "q", F.col("b.esco_id").alias("esco_id"), (-F.col("b.s")).alias("score"))
     keyed = items.select("ord", "item_type", match_form(without_prefix("text", "item_type")).alias("q"))
     return keyed.join(best, ["item_type", "q"]).select("ord", "esco_id", "score")

@@ -34,7 +34,8 @@ def test_empty_table(spark):
 
 
 def brute(rows, threshold=0.86):
-    """The leader of each text, by comparing with every leader in order."""
+    """The leader of each text, by comparing with every leader in order; forms are the texts in lower case without marks."""
+    form = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
     groups = {}
     for d, o, t, k, c, e in rows:
         groups.setdefault((d, k), {}).setdefault(t or "", []).append((bool((e or "").strip()), c or 0.0, -o))
@@ -43,29 +44,39 @@ def brute(rows, threshold=0.86):
         order = sorted(((max(v), t) for t, v in texts.items()), key=lambda x: (-x[0][0], -x[0][1], -len(x[1]), -x[0][2]))
         leaders = []
         for best, t in order:
-            for form, o in leaders:
-                a, b = set(t.split()), set(form.split())
+            f = form(t)
+            for lead, o in leaders:
+                a, b = set(f.split()), set(lead.split())
                 j = len(a & b) / len(a | b) if a | b else 1.0
-                if len(t) >= 4 and 0.6 * j + 0.4 * SequenceMatcher(None, t, form).ratio() >= threshold:
+                if len(t) >= 4 and 0.6 * j + 0.4 * SequenceMatcher(None, f, lead).ratio() >= threshold:
                     out[key + (t,)] = o
                     break
             else:
-                leaders.append((t, -best[2]))
+                leaders.append((f, -best[2]))
                 out[key + (t,)] = -best[2]
     return out
 
 
-def test_clusters_against_brute_force(spark):
+def test_clusters_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rows = []
-    for i in range(400):
+    for i in range(500):
         ws = rng.sample(words, rng.randint(0, 7))
-        text = " ".join(ws) if rng.random() > 0.05 else rng.choice(["abc", "", "ab"])
+        text = rng.choice([" ", "-"]).join(ws) if rng.random() > 0.15 else rng.choice(["abc", "", "ab", "ab-", "AB  .", "a-b", "....", "?"])
         rows.append((rng.choice(["a", "b", None]), i, text, rng.choice(["skill", "ability"]), rng.choice([0.1, 0.5, 0.9]), rng.choice([None, "E1"])))
-    got = {(r.doc_code, r.item_type, r.text): r.leader_ord for r in M.greedy_clusters(frame(spark, rows)).collect()}
-    want = {(d, k, t): o for (d, k, t), o in brute(rows).items()}
-    assert got == want
+    want = brute(rows)
+    for at_once in (10**6, 40, 0):
+        monkeypatch.setattr(M, "OPEN_AT_ONCE", at_once)
+        got = {(r.doc_code, r.item_type, r.text): r.leader_ord for r in M.greedy_clusters(frame(spark, rows)).collect()}
+        assert got == want
+
+
+def test_canonical_items_of_equal_places(spark):
+    """Places are unique in a document only: another document's id at the same place is never lifted."""
+    rows = [("a", 1, "run radar sets", "skill", 0.5, None), ("b", 1, "paint masts", "skill", 0.5, "E1"), ("a", 1, "know maps", "knowledge", 0.5, "E2")]
+    got = {(r.doc_code, r.item_type, r.leader_ord, r.text, r.esco_id, r.n_members) for r in M.canonical_items(frame(spark, rows)).collect()}
+    assert got == {("a", "skill", 1, "run radar sets", None, 1), ("b", "skill", 1, "paint masts", "E1", 1), ("a", "knowledge", 1, "know maps", "E2", 1)}
 
 
 def test_hybrid_is_asymmetric(spark):
