@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.setjoin import similarity_join
-from skein.session import cut, parallelism
+from skein.operators.setjoin import similarity_join
+from skein.session import cut
 
 # Words that say nothing about which entry is meant.
 LEADS = ("ability to", "experienced in", "skilled in", "knowledge", "must be able to", "able to")
@@ -18,9 +18,9 @@ TAILS = ("as required", "etc", "iaw local guidance", "general", "level")
 FILLERS = ("the", "of", "a", "an")
 #: Fixed value: characters misread for digits in ids.
 MISREAD = ("OISBZL", "015821")
-#: Least Jaccard similarity of letters at which a way of writing is looked at closely, and of words at which an entry is.
-WORD_LIKE, VALUE_LIKE = 0.28, 0.6
-#: A reference list is broadcast up to this many entries.
+#: Least Jaccard similarity of words at which an entry is looked at.
+VALUE_LIKE = 0.6
+#: What the list teaches is learned and broadcast up to so many ways of writing entries (some 100 MB); more are an error.
 LIST_BOUND = 200_000
 #: Edits allowed in a whole value, and the length from which a word may have two.
 EDITS, TWO_FROM = 3.0, 6
@@ -69,7 +69,7 @@ def learn_variants(entries: list[tuple[str, list[str]]]) -> dict[str, set[str]]:
             if len(left) == 1 and rest:
                 seen[left[0]][" ".join(rest)] += 1
     words = {w for label, _ in entries for w in label.split()}
-    return {w: {w} | {v for v, n in seen[w].items() if n >= 2 or len(entries) < 50} for w in words}
+    return {w: {w} | {v for v, n in seen[w].items() if n >= 2} for w in words}
 
 
 def _stem(w: str) -> str:
@@ -125,26 +125,21 @@ def word_cost(typed: str, ways: frozenset[str]) -> float:
     return best
 
 
-def word_options(typed: str, ways: dict[str, frozenset[str]]) -> tuple[float, list[str]]:
+def word_options(typed: str, like: list[tuple[str, str | None, str]], ways: dict[str, frozenset[str]]) -> tuple[float, list[str]]:
     """The words of the list that a typed word may stand for, and at what cost; 9 and none if it stands for nothing.
 
-    ``ways`` are the ways of writing that are somewhat alike, each with the words it is a way of writing. One typed word
-    may also hold two words between which the blank is missing.
+    ``like`` are candidates (rest, other, way): the whole word or, where the blank between two words is missing, the rest
+    beside a way of writing ``other``. ``ways`` has the words that each way of writing is a way of.
     """
-    priced = [(word_cost(typed, frozenset((w,))), w) for w in ways]
-    cost = min((c for c, _ in priced), default=9.0)
+    whole = [(word_cost(rest, frozenset((w,))), w) for rest, other, w in like if other is None]
+    cost = min((c for c, _ in whole), default=9.0)
     if cost < 9:
-        return cost, sorted({x for c, w in priced if c == cost for x in ways[w]})
-    halves: list[tuple[float, str, str]] = []
-    for w in ways:
-        for rest_at, part in ((len(w), typed[: len(w)]), (-len(w), typed[-len(w) :])):
-            rest = typed[rest_at:] if rest_at > 0 else typed[:rest_at]
-            if len(rest) >= 3 and part == w:
-                halves += [(word_cost(rest, frozenset((z,))) + 0.25, w, z) for z in ways if z != w]
+        return cost, sorted({x for c, w in whole if c == cost for x in ways[w]})
+    halves = [(word_cost(rest, frozenset((w,))) + 0.25, other, w) for rest, other, w in like if other is not None and other != w]
     cost = min((c for c, _, _ in halves), default=9.0)
     if cost >= 9:
         return 9.0, []
-    return cost, sorted({x for c, w, z in halves if c == cost for x in ways[w] | ways[z]})
+    return cost, sorted({x for c, a, b in halves if c == cost for x in ways[a] | ways[b]})
 
 
 def forms(catalog: DataFrame) -> DataFrame:
@@ -154,17 +149,42 @@ def forms(catalog: DataFrame) -> DataFrame:
     return each.select("esco_id", "label", plain(F.col("_form")).alias("form")).where(F.col("form") != "").distinct()
 
 
-def letter_bag(c: Column) -> Column:
-    """Letters of a word, each with its number among equal ones, as distinct tokens; their order plays no part."""
-    letters = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+def _without_one(c: Column) -> Column:
+    """A word's spellings with one letter left out."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
 
 
-def known_ways(entries: DataFrame) -> tuple[dict[str, frozenset[str]], dict[str, list[list[str]]]]:
-    """What the list itself teaches: each single way of writing with the label words it stands for, and for each label word the ways of several words."""
-    listed: dict[str, list[str]] = defaultdict(list)
-    for r in entries.collect():  # at most LIST_BOUND entries, which the caller checks
-        listed[r["label"]].append(r["form"])
+def edit_keys(c: Column) -> Column:
+    """What a word and any other within its edits (:func:`word_cost`) have in common: spellings with up to one, or two, letters left out."""
+    one = _without_one(c)
+    return F.array_distinct(F.concat(F.array(c), one, F.when(F.length(c) >= TWO_FROM, F.flatten(F.transform(one, _without_one))).otherwise(F.array().cast("array<string>"))))
+
+
+def short_keys(c: Column) -> Column:
+    """Keys under which a typed word asks for what it may be short for: as a beginning, and by its outer letters and one or two between."""
+    n = F.length(c)
+    between = F.when(n == 3, F.substring(c, 2, 1)).otherwise(F.substring(c, 2, 2))
+    begins = F.when(n >= 3, F.concat(F.lit("^"), c))
+    return F.filter(F.array(begins, F.when(n.between(3, 5), F.concat_ws("~", F.substring(c, 1, 1), between, F.right(c, F.lit(1))))), lambda k: k.isNotNull())
+
+
+def long_keys(c: Column) -> Column:
+    """The keys of all that a way of writing may be shortened to (:func:`short_for`)."""
+    n = F.length(c)
+    none = F.array().cast("array<string>")
+    begins = F.when(n > 3, F.transform(F.sequence(F.lit(3), F.greatest(n - 1, F.lit(3))), lambda i: F.concat(F.lit("^"), F.substring(c, F.lit(1), i)))).otherwise(none)
+    plural = F.when((n > 3) & F.endswith(c, F.lit("s")), F.transform(F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2))), lambda i: F.concat(F.lit("^"), F.substring(c, F.lit(1), i), F.lit("s")))).otherwise(none)
+    inner = F.slice(F.split(c, ""), F.lit(2), F.greatest(n - 2, F.lit(0)))
+    two = F.flatten(F.transform(inner, lambda x, i: F.transform(F.slice(inner, i + 2, n), lambda y: F.concat(x, y))))
+    middle = F.transform(F.concat(inner, two), lambda m: F.concat_ws("~", F.substring(c, 1, 1), m, F.right(c, F.lit(1))))
+    return F.array_distinct(F.concat(begins, plural, F.when(n > 3, middle).otherwise(none)))
+
+
+def known_ways(listed: dict[str, list[str]]) -> tuple[dict[str, frozenset[str]], dict[str, list[list[str]]]]:
+    """What the list itself teaches: each single way of writing with the label words it stands for, and for each label word the ways of several words.
+
+    ``listed`` has the ways in which each label is written.
+    """
     learned = learn_variants(sorted((k, sorted(v)) for k, v in listed.items()))
     single: dict[str, set[str]] = defaultdict(set)
     several: dict[str, list[list[str]]] = defaultdict(list)
@@ -180,53 +200,75 @@ def known_ways(entries: DataFrame) -> tuple[dict[str, frozenset[str]], dict[str,
     return {k: frozenset(v) for k, v in single.items()}, dict(several)
 
 
-def map_values(typed: DataFrame, catalog: DataFrame, value: str) -> DataFrame:
-    """The entry meant by each distinct plain value of ``typed``: value, esco_id, cost, jaccard; values without one are absent.
+def meant_words(words: DataFrame, single: dict[str, frozenset[str]]) -> DataFrame:
+    """What typed words (``word``, distinct) stand for: word, cost, options; those that stand for nothing are absent.
 
-    :func:`similarity_join` is run twice. First between the distinct typed words and the ways of writing that the list
-    teaches, as bags of letters at ``WORD_LIKE``; an exact cost by edits, abbreviation or a missing blank then decides what
-    a word stands for. Then between the values and the entries, as sets of such words at ``VALUE_LIKE``; an entry counts
-    if all its words are met, and the cheapest, then most similar, then smallest id is kept. No candidate is dropped
-    unseen, and each distinct word and value is looked at once, however many rows have it.
+    A word meets the ways of writing by shared keys: spellings with a letter or two left out (so every pair within its
+    edits), its own beginning or outer letters (every abbreviation), and, where it begins or ends with a way, the same for
+    the rest (a missing blank). An exact cost decides. No pair that it would accept goes unseen.
     """
-    if catalog.limit(LIST_BOUND + 1).count() > LIST_BOUND:
-        raise ValueError(f"the reference list has more than {LIST_BOUND} entries")
-    entries = forms(catalog)
-    single, several = known_ways(entries)
-    spark = typed.sparkSession
-    values = cut(typed.select(F.col(value).alias("lid")).where(F.col("lid") != "").distinct())
-    each = values.select("lid", F.explode(F.split("lid", " ")).alias("word"))
-
-    words = each.select(F.col("word").alias("lid")).distinct().repartition(parallelism(spark), "lid")
-    ways = spark.createDataFrame([(w,) for w in sorted(single)], "rid string")
-    near = similarity_join(words.withColumn("tokens", letter_bag(F.col("lid"))), ways.withColumn("tokens", letter_bag(F.col("rid"))), WORD_LIKE)
+    spark = words.sparkSession
+    ways = spark.createDataFrame([(w,) for w in sorted(single)], "way string")
     known = spark.sparkContext.broadcast(single)
+    n = F.length("word")
+    at = F.transform(F.sequence(F.lit(2), F.greatest(n - 2, F.lit(2))), lambda i: F.array(F.struct(F.substring("word", F.lit(1), i).alias("other"), F.substring(F.col("word"), i + 1, n).alias("rest")), F.struct(F.substring(F.col("word"), i + 1, n).alias("other"), F.substring("word", F.lit(1), i).alias("rest"))))
+    halves = words.where(n >= 5).select("word", F.inline(F.filter(F.flatten(at), lambda x: F.length(x["rest"]) >= 3)))
+    halves = halves.join(ways.select(F.col("way").alias("other")), "other").select("word", "rest", "other")
+    asked = words.select("word", F.col("word").alias("rest"), F.lit(None).cast("string").alias("other")).unionByName(halves)
+    asked = asked.select("word", "rest", "other", F.explode(F.concat(edit_keys(F.col("rest")), short_keys(F.col("rest")))).alias("key"))
+    keyed = ways.select("way", F.explode(F.concat(edit_keys(F.col("way")), long_keys(F.col("way")))).alias("key"))
 
     def stand_for(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [word_options(w, {x: known.value[x] for x in like}) for w, like in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = [word_options(w, [(x["rest"], x["other"], x["way"]) for x in like], known.value) for w, like in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c for c, _ in found], pa.float64()), pa.array([o for _, o in found], pa.list_(pa.string()))], names=["word", "cost", "options"])
 
-    # a word meets at most all ways of writing, which the list bounds
-    meant = near.groupBy("lid").agg(F.collect_list("rid").alias("like")).mapInArrow(stand_for, "word string, cost double, options array<string>").where(F.col("cost") < 9)
+    near = asked.join(keyed, "key").groupBy("word").agg(F.collect_set(F.struct("rest", "other", "way")).alias("like"))  # a word meets at most all ways
+    return near.mapInArrow(stand_for, "word string, cost double, options array<string>").where(F.col("cost") < 9)
+
+
+def map_values(typed: DataFrame, catalog: DataFrame, value: str) -> DataFrame:
+    """The entry meant by each distinct plain value of ``typed``: value, esco_id, cost, jaccard; values without one are absent.
+
+    First each distinct word is read as a word of the list (:func:`meant_words`), which makes a value a set of such words.
+    Then :func:`similarity_join` is run between the distinct sets and the entries at ``VALUE_LIKE``: tokens by rarity, rare
+    prefixes joined, length and positional filters, Jaccard exact. An entry counts if all its words, be it one, are met; the
+    most similar, then smallest id is kept. A value may have ``EDITS`` edits in all. Each distinct word, value and set is
+    looked at once, however many rows have it.
+    """
+    listed: dict[str, list[str]] = defaultdict(list)
+    entries: set[tuple[str, str]] = set()
+    rows = forms(catalog).limit(LIST_BOUND + 1).collect()
+    if len(rows) > LIST_BOUND:
+        raise ValueError(f"the reference list has more than {LIST_BOUND} ways of writing entries")
+    for r in rows:
+        listed[r["label"]].append(r["form"])
+        entries.add((r["esco_id"], r["label"]))
+    single, several = known_ways(listed)
+    spark = typed.sparkSession
+    values = cut(typed.select(F.col(value).alias("lid")).where(F.col("lid") != "").distinct())
+    each = values.select("lid", F.explode(F.split("lid", " ")).alias("word"))
+    meant = meant_words(each.select("word").distinct(), single)
+    # a word that stands for nothing stays in the set, marked, and makes it less similar
     tokens = each.join(meant, "word", "left").groupBy("lid").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("options", F.array(F.concat(F.lit("?"), F.col("word"))))))).alias("tokens"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("options", F.array(F.concat(F.lit("?"), F.col("word")))))))).alias("tokens"),
         F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"),
     )
-    tokens = cut(tokens.where((F.col("cost") <= EDITS) & (F.size(F.filter("tokens", lambda t: ~t.startswith("?"))) >= 2)))
+    tokens = cut(tokens.where((F.col("cost") <= EDITS) & F.exists("tokens", lambda t: ~t.startswith("?"))).withColumn("set", F.array_join("tokens", " ")))
 
     sets: list[tuple[str, str, list[str]]] = []
-    for r in entries.select("esco_id", "label").distinct().collect():
-        parts = sorted(set(r["label"].split()))
-        sets.append((f"{r['esco_id']}\u0001", r["esco_id"], parts))
+    for n, (ident, label) in enumerate(sorted(entries)):
+        parts = sorted(set(label.split()))
+        sets.append((f"{n}", ident, parts))
         for w in parts:
             for k, way in enumerate(several.get(w, [])):
-                sets.append((f"{r['esco_id']}\u0001{w}{k}", r["esco_id"], sorted({x for x in parts if x != w} | {f"+{x}" for x in way})))
+                sets.append((f"{n} {w} {k}", ident, sorted({x for x in parts if x != w} | {f"+{x}" for x in way})))
     right = spark.createDataFrame(sets, "rid string, esco_id string, tokens array<string>")
-    pairs = similarity_join(tokens.select("lid", "tokens"), right.select("rid", "tokens"), VALUE_LIKE)
-    pairs = pairs.join(F.broadcast(right.withColumnRenamed("tokens", "needed")), "rid").join(tokens, "lid").where(F.size(F.array_except("needed", "tokens")) == 0)
-    best = pairs.groupBy("lid").agg(F.min(F.struct("cost", (-F.col("jaccard")).alias("_j"), "esco_id")).alias("b"))
-    return best.select(F.col("lid").alias(value), "b.esco_id", "b.cost", (-F.col("b._j")).alias("jaccard"))
+    distinct = tokens.groupBy("set").agg(F.first("tokens").alias("tokens")).select(F.col("set").alias("lid"), "tokens")
+    pairs = similarity_join(distinct, right.select("rid", "tokens"), VALUE_LIKE)
+    pairs = pairs.join(right.withColumnRenamed("tokens", "needed"), "rid").where(F.size(F.array_except("needed", F.split("lid", " "))) == 0)
+    best = pairs.groupBy(F.col("lid").alias("set")).agg(F.min(F.struct((-F.col("jaccard")).alias("_j"), "esco_id")).alias("b"))
+    return tokens.join(best, "set").select(F.col("lid").alias(value), "b.esco_id", "cost", (-F.col("b._j")).alias("jaccard"))
 
 
 def typed_values(items: DataFrame, checks: DataFrame) -> DataFrame:
@@ -240,11 +282,12 @@ def typed_values(items: DataFrame, checks: DataFrame) -> DataFrame:
 def meant_entries(items: DataFrame, checks: DataFrame, catalog: DataFrame) -> DataFrame:
     """src, row_id, esco_id of every row of :func:`typed_values`; ``none`` if the list has no entry that is meant.
 
-    A value with an id of the list means that entry; else its words decide. Values are mapped once each, however many rows
-    have them; the result is joined back to the rows, where AQE splits the partition of a hot value.
+    A value with an id of the list means that entry, which takes no search; else its words decide, by :func:`map_values`.
+    Values are mapped once each, however many rows have them; the result is joined back to the rows, where AQE splits the
+    partition of a hot value.
     """
     rows = typed_values(items, checks).select("src", "row_id", typed_id(F.col("typed")).alias("_id"), plain(F.regexp_replace("typed", r"(?i)^\W*(?:esc[o0]|skill)\b\W*[0-9OISBZl]{4,5}\b", " ")).alias("_value"))
-    ids = F.broadcast(catalog.limit(LIST_BOUND).select(F.col("esco_id").alias("_id"), F.col("esco_id").alias("by_id")))
-    rows = rows.join(ids, "_id", "left")
+    ids = catalog.select(F.col("esco_id").alias("_id"), F.col("esco_id").alias("by_id")).distinct()
+    rows = cut(rows.join(ids, "_id", "left").select("src", "row_id", "by_id", F.when(F.col("by_id").isNull(), F.col("_value")).alias("_value")))  # read twice
     names = map_values(rows.where(F.col("by_id").isNull()), catalog, "_value").select("_value", F.col("esco_id").alias("by_name"))
     return rows.join(names, "_value", "left").select("src", "row_id", F.coalesce("by_id", "by_name", F.lit("none")).alias("esco_id"))

@@ -1,28 +1,13 @@
 import random
-from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import examples, mapping, mixture, quality, scans, setjoin, textstats
+from skein.llm import examples, mapping, mixture, quality, scans, textstats
 
 
-def test_similarity_join_against_all_pairs(spark, monkeypatch):
-    rng = random.Random(8)
-    make = lambda n: [(i, rng.sample("abcdefghijklmnop", rng.randint(0, 9))) for i in range(n)]
-    left, right = make(120) + [(500, None)], make(90)
-    lf, rf = spark.createDataFrame(left, "lid long, tokens array<string>"), spark.createDataFrame(right, "rid long, tokens array<string>")
-    for t, bound in product((0.3, 0.6, 1.0), (10**6, 3)):
-        monkeypatch.setattr(setjoin, "RANKS_BY_BROADCAST", bound)
-        want = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in left if a for j, b in right if b if len(set(a) & set(b)) / len(set(a) | set(b)) >= t - 1e-9}
-        got = [(r.lid, r.rid, r.jaccard) for r in setjoin.similarity_join(lf, rf, t).collect()]
-        assert len(got) == len(want) and all(abs(want[i, j] - x) < 1e-9 for i, j, x in got)
-    with pytest.raises(ValueError):
-        setjoin.similarity_join(lf, rf, 0)
-
-
-CATALOG = [("ESCO.1234", " Inspect  radar masts", "examine radar masts; inspecting radar masts;; radar mast inspection"), ("ESCO.2345", "inspect copper kettles", "examine copper kettles;inspection of copper kettles"), ("ESCO.3456", "paint copper kettles", None), ("ESCO.4567", "configure copper masts", "set up copper masts"), ("ESCO.5678", "configure radar masts", "set up radar masts; "), ("ESCO.6789", None, "x")]
+CATALOG = [("ESCO.1234", " Inspect  radar masts", "examine radar masts; inspecting radar masts;; radar mast inspection"), ("ESCO.2345", "inspect copper kettles", "examine copper kettles;inspection of copper kettles; inspecting copper kettles"), ("ESCO.3456", "paint copper kettles", None), ("ESCO.4567", "configure copper masts", "set up copper masts"), ("ESCO.5678", "configure radar masts", "set up radar masts; "), ("ESCO.6789", None, "x")]
 
 
 def test_meant_entries(spark):
@@ -47,6 +32,34 @@ def test_meant_entries_of_nothing(spark):
     assert mapping.meant_entries(items.limit(0), none, cat).count() == 0
 
 
+def test_entries_of_one_word(spark):
+    cat = spark.createDataFrame([("ESCO.0001", "Welding", None), ("ESCO.0002", "operate radar", "run radar"), ("ESCO.0003", "operate sonar", "run sonar")], "esco_id string, label string, alt_labels string")
+    typed = {"Welding": "ESCO.0001", "wleding": "ESCO.0001", "welding radar": "none", "radar": "none", "Run Radar": "ESCO.0002", "operateradar": "ESCO.0002"}
+    items = spark.createDataFrame([(i, n, None) for i, n in enumerate(typed)], "item_id long, name string, esco_id string")
+    got = {r.row_id: r.esco_id for r in mapping.meant_entries(items, spark.createDataFrame([], "validation_id long, esco_export string"), cat).collect()}
+    assert got == dict(enumerate(typed.values()))
+
+
+def test_words_against_all_ways(spark):
+    """Every way of writing is tried for every word; the keys must have found all that an exact cost accepts."""
+    rng = random.Random(12)
+    ways = sorted({"".join(rng.choices("abcs", k=rng.randint(2, 11))) for _ in range(60)})
+    single = {w: frozenset({w, f"x{i % 9}"}) for i, w in enumerate(ways)}
+    typed = set(ways[:5]) | {ways[i] + ways[j] for i, j in ((1, 2), (7, 9))}
+    for _ in range(250):
+        w = list(rng.choice(ways))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "s"])
+        typed.add("".join(w) or "q")
+    typed |= {w[:k] for w in ways for k in (2, 3, 4)} | {w[0] + w[2:4] + w[-1] for w in ways if len(w) > 4} | {w[:3] + "s" for w in ways}
+    got = {r.word: (r.cost, r.options) for r in mapping.meant_words(spark.createDataFrame([(w,) for w in typed], "word string"), single).collect()}
+    for w in typed:
+        halves = [(rest, other, z) for i in range(2, len(w) - 1) for other, rest in ((w[:i], w[i:]), (w[i:], w[:i])) if other in single and len(rest) >= 3 for z in ways]
+        cost, options = mapping.word_options(w, [(w, None, z) for z in ways] + halves, single)
+        assert got.get(w, (9.0, [])) == (cost, options), w
+
+
 def test_edits():
     assert [mapping.edits(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "abcd"), ("abcd", "xbcy"), ("abc", "xyz"))] == [0, 1, 1, 2, 3]
     assert mapping.short_for("gens", "generators") and mapping.short_for("eqpt", "equipment") and not mapping.short_for("ge", "generators")
