@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import ChainMap, defaultdict
+from collections.abc import Callable, Container, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import cut
+
 #: How scanners misread. Each character is written as what it may be taken for, so that two spellings of a
 #: word that differ by misreading only become the same string (rn and m, ri and n, cl and d, ii and u, li and h, vv and w).
 LOOKS = {
@@ -40,17 +42,15 @@ LETTERS = re.compile(r"[^\W\d_]")
 WORDLIKE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*-?\Z")
 #: A line longer than this is no header; a key shorter says too little.
 LINE_MOST, KEY_LEAST = 110, 6
-#: A header is a line that comes back within documents or in so many documents or more, stands at the edge of a page this often, and is
-#: found in trusted texts at most this often for each time it is found in a scan.
-DOCS_LEAST, AT_EDGE, IN_TRUSTED = 3, 0.6, 0.02
-#: A line seen this often for each document it is in comes back from page to page: a header in however few documents.
-#: One that stands once in each of its documents needs DOCS_LEAST of these, and this share of its letters in words the
-#: trusted texts don't have or FREQUENT documents.
-AGAIN, UNKNOWN, FREQUENT = 1.2, 0.3, 40
-#: The vocabulary keeps words seen this often; so it has at most (words of all texts) / MIN_COUNT entries, and is sent
-#: to the workers only up to VOCABULARY_BOUND (some 200 MB); beyond, rarer words are left out step by step.
-#: More than HEADS_BOUND repeated lines are an error.
-MIN_COUNT, VOCABULARY_BOUND, HEADS_BOUND = 2, 1_000_000, 100_000
+#: A header is a line that comes back, stands at the edge of a page this often, and is found in trusted texts at most this
+#: often for each time it is found in a scan.
+AT_EDGE, IN_TRUSTED = 0.6, 0.02
+#: A line seen this often for each document it is in comes back from page to page. One that stands once in each of its
+#: documents must be in two different texts and have this share of its letters in words the trusted texts don't have.
+AGAIN, UNKNOWN = 1.2, 0.3
+#: So many words and headers, the most frequent ones, go to the workers by broadcast (some 200 MB); rarer ones are looked up
+#: by a join on what each document asks for.
+VOCABULARY_BOUND, HEADS_BOUND = 1_000_000, 100_000
 
 
 def looks(word: str) -> str:
@@ -152,7 +152,8 @@ def _hash(key: str) -> int:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Lines at page edges that come back: key, sample, n_docs, n_trusted, and whether from page to page (again).
 
-    A document's own title isn't counted as coming back in it.
+    A document's own title isn't counted as coming back in it. A text loaded again under another id is no other text: what
+    counts is whether the smallest and the largest fingerprint of a line's texts differ.
 
     Counts are added up inside every batch first; what is shuffled is a hash and four numbers, and a line's text only
     where it stands at an edge.
@@ -162,8 +163,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         for b in batches:
             sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
             texts: dict[int, tuple[str, str]] = {}
+            low: dict[int, int] = {}
+            high: dict[int, int] = {}
             for raw, trusted, title, first, last in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 seen = set()
+                mark = _hash(raw)
                 for key, line, edge, own in _edge_lines(raw, title, first, last):
                     h = _hash(key)
                     s = sums[h]
@@ -171,6 +175,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                         s[3] += h not in seen
                     else:
                         s[0] += h not in seen
+                        low[h], high[h] = min(low.get(h, mark), mark), max(high.get(h, mark), mark)
                         s[1] += 1
                         s[2] += edge
                         s[4] += edge and not own and h in seen
@@ -178,38 +183,45 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                             texts[h] = (key, line)
                     seen.add(h)
             hs = list(sums)
-            cols = [pa.array(hs, pa.int64()), *(pa.array([sums[h][i] for h in hs], pa.int64()) for i in range(5)), *(pa.array([texts[h][i] if h in texts else None for h in hs], pa.string()) for i in range(2))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "n_docs", "n_seen", "n_edge", "n_trusted", "n_again", "key", "sample"])
+            cols = [pa.array(hs, pa.int64()), *(pa.array([sums[h][i] for h in hs], pa.int64()) for i in range(5)), *(pa.array([texts[h][i] if h in texts else None for h in hs], pa.string()) for i in range(2)), *(pa.array([x.get(h) for h in hs], pa.int64()) for x in (low, high))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "n_docs", "n_seen", "n_edge", "n_trusted", "n_again", "key", "sample", "low", "high"])
 
     rows = docs.where(F.col("raw_text").isNotNull()).select("raw_text", F.col("clean_text").isNotNull(), "title", "page_start", "page_end")
-    counted = rows.mapInArrow(run, "h long, n_docs long, n_seen long, n_edge long, n_trusted long, n_again long, key string, sample string")
-    sums = counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_seen", "n_edge", "n_trusted", "n_again")], F.max(F.struct("key", "sample")).alias("t"))
+    counted = rows.mapInArrow(run, "h long, n_docs long, n_seen long, n_edge long, n_trusted long, n_again long, key string, sample string, low long, high long")
+    sums = counted.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_seen", "n_edge", "n_trusted", "n_again")], F.max(F.struct("key", "sample")).alias("t"), F.min("low").alias("low"), F.max("high").alias("high"))
     again = F.col("n_again") >= (AGAIN - 1) * F.col("n_docs")
     rare = (F.col("n_docs") > 0) & (F.col("n_edge") >= AT_EDGE * F.col("n_seen")) & (F.col("n_trusted") <= IN_TRUSTED * F.col("n_docs"))
-    return sums.where(rare & (again | (F.col("n_docs") >= DOCS_LEAST))).select("t.key", "t.sample", "n_docs", "n_trusted", again.alias("again"))
+    return sums.where(rare & (again | (F.col("low") != F.col("high")))).select("t.key", "t.sample", "n_docs", "n_trusted", again.alias("again"))
 
 
 def trusted_words(docs: DataFrame) -> DataFrame:
-    """Words of all trusted texts with their counts: word, n (lower case, no marks around them, a last hyphen kept)."""
-    words = docs.where(F.col("clean_text").isNotNull()).select(F.explode(F.split(F.lower("clean_text"), r"(?U)[\s/]+")).alias("w"))
-    bare = F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}-]+$", "")
-    return words.select(bare.alias("word")).where(F.col("word").rlike(r"^\p{L}+(?:['’-]\p{L}+)*-?$")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_COUNT)
+    """Words of trusted texts with their counts: word, n (lower case, no marks around them, a last hyphen kept).
+
+    A word must be met twice in one text or in two different ones; a text loaded again is no different one.
+    """
+    words = F.transform(F.split(F.lower("clean_text"), r"(?U)[\s/]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}-]+$", ""))
+    good = F.array_sort(F.filter(words, lambda w: w.rlike(r"^\p{L}+(?:['’-]\p{L}+)*-?$")))
+    texts = docs.where(F.col("clean_text").isNotNull()).select(F.xxhash64("clean_text").alias("mark"), good.alias("w"))
+    each = texts.select("mark", F.inline(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get("w", i + 1) == w, F.lit(False)).alias("twice")))))
+    sums = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    return sums.where(F.col("twice") | (F.col("low") != F.col("high"))).select("word", "n")
 
 
 @dataclass
 class Known:
     """What the corpus knows: words with counts, the word that each look means, header keys."""
 
-    words: dict[str, int]
-    heads: set[str] = field(default_factory=set)
-    means: dict[str, str] = field(default_factory=dict)
-    by_half: dict[str, frozenset[str]] = field(default_factory=dict)
+    words: Mapping[str, int]
+    heads: Container[str] = field(default_factory=set)
+    means: Mapping[str, str] = field(default_factory=dict)
+    by_half: Mapping[str, frozenset[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for w, n in self.words.items():
-            k = looks(w)
-            if k not in self.means or (n, w) > (self.words[self.means[k]], self.means[k]):
-                self.means[k] = w
+        if not self.means:
+            for w, n in self.words.items():
+                k = looks(w)
+                if k not in self.means or (n, w) > (self.words[self.means[k]], self.means[k]):
+                    self.means[k] = w
 
     def meant(self, w: str) -> str | None:
         """The known word that ``w`` is or looks like."""
@@ -234,32 +246,176 @@ class Known:
         return False
 
 
-def known(docs: DataFrame) -> Known:
-    """Vocabulary and headers of ``docs``, both counted over all of them."""
+def halves(heads: Iterable[str]) -> dict[str, frozenset[str]]:
+    """Longer headers by their first and last letters."""
+    out: dict[str, set[str]] = defaultdict(set)
+    for h in heads:
+        if len(h) >= 14:
+            out[h[:7]].add(h)
+            out[h[-7:]].add(h)
+    return {a: frozenset(b) for a, b in out.items()}
+
+
+def sample_tokens(sample: str) -> list[str]:
+    tokens = [t.strip(EDGE).lower() for t in sample.split()]
+    return [t for t in tokens if LETTERS.search(t)]
+
+
+def strange(sample: str, k: Known) -> bool:
+    """Whether enough of a line's letters are in words that the trusted texts don't have."""
+    tokens = sample_tokens(sample)
+    letters = sum(map(len, tokens))
+    return bool(letters) and sum(len(t) for t in tokens if k.meant(t) is None) / letters >= UNKNOWN
+
+
+class Either:
+    """In one of two."""
+
+    def __init__(self, a: Container[str], b: Container[str]) -> None:
+        self.a, self.b = a, b
+
+    def __contains__(self, x: object) -> bool:
+        return x in self.a or x in self.b
+
+
+class Union(dict):
+    """The sets of two tables together."""
+
+    def __init__(self, a: Mapping[str, frozenset[str]], b: Mapping[str, frozenset[str]]) -> None:
+        super().__init__(b)
+        self.a = a
+
+    def get(self, key: str, none: frozenset[str] = frozenset()) -> frozenset[str]:
+        return self.a.get(key, none) | super().get(key, none)
+
+
+def more_known(k: Known, found: list[dict] | None) -> Known:
+    """``k`` with what was looked up for one document: rows (kind, s, word, n) of words, looks and headers."""
+    if not found:
+        return k
+    words = {r["s"]: r["n"] for r in found if r["kind"] == "w"}
+    means = {r["s"]: r["word"] for r in found if r["kind"] == "l"}
+    heads = {r["word"] for r in found if r["kind"] == "h"}
+    return Known(ChainMap(words, k.words), Either(k.heads, heads), ChainMap(k.means, means) if means else k.means, Union(k.by_half, halves(heads)))
+
+
+def asked_heads(text: str) -> set[tuple[str, str]]:
+    """Under which keys a text's lines may be found among headers, as (kind, s)."""
+    keys = {line_key(x) for x in split_lines(text) if x and len(x) <= LINE_MOST and x[-1] not in ".,;:!?"}
+    out = set()
+    for key in keys:
+        if len(key) >= KEY_LEAST:
+            out |= {key, *(key[:-more] for more in range(1, min(14, len(key) - 10))), *(key[more:] for more in range(1, min(14, len(key) - 10)))}
+            if len(key) >= 14:
+                out |= {"7" + key[:7], "7" + key[-7:]}
+    return {("h", x) for x in out}
+
+
+def asked_words(text: str, title: str | None, first: int | None, last: int | None, k: Known) -> set[tuple[str, str]]:
+    """What :func:`repair` may look up for a text that ``k`` doesn't have, as (kind, s)."""
+    lines = split_lines(text)
+    out = furniture(text, title, first, last, k)
+    body = [lines[i].split() for i in range(len(lines)) if lines[i] and i not in out]
+    forms: set[str] = set()
+    for at, tokens in enumerate(body):
+        bare = [_bare(t) for t in tokens]
+        forms.update(bare)
+        forms.update(unicodedata.normalize("NFKC", w) for w in bare)
+        forms.update(a + b for a, b in zip(bare, bare[1:], strict=False))
+        if at + 1 < len(body) and tokens[-1][-1] in HYPHENS:
+            a, b = tokens[-1][:-1].lstrip(EDGE).lower(), body[at + 1][0].rstrip(EDGE).lower()
+            forms |= {a, b, a + b, f"{a}-{b}", f"{a}-", a + b + _bare(body[at + 1][1]) if len(body[at + 1]) > 1 else ""}
+    return asked_forms(forms, k)
+
+
+def asked_forms(forms: Iterable[str], k: Known) -> set[tuple[str, str]]:
+    forms = [w for w in forms if w]
+    return {("w", w) for w in forms if w not in k.words} | {("l", x) for x in map(looks, forms) if x not in k.means}
+
+
+def looked_up(df: DataFrame, ident: str, ask: Callable[..., set[tuple[str, str]]], columns: list[str], table: DataFrame) -> DataFrame:
+    """``df`` with ``found``, the rows of ``table`` (kind, s, word, n) that each row's ``ask(*columns, found)`` names, added to those found before."""
+    before = F.col("found") if "found" in df.columns else F.lit(None).cast(FOUND)
+    df = df.withColumn("found", before)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, kinds, strings = [], [], []
+            for i, *row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns)), strict=True):
+                for kind, x in ask(*row):
+                    ids.append(i)
+                    kinds.append(kind)
+                    strings.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(strings, pa.string())], names=[ident, "kind", "s"])
+
+    asked = df.select(ident, *columns, "found").mapInArrow(run, f"{ident} {df.schema[ident].dataType.simpleString()}, kind string, s string")
+    got = asked.join(table, ["kind", "s"]).groupBy(ident).agg(F.collect_list(F.struct("kind", "s", "word", "n")).alias("_more"))
+    none = F.array().cast(FOUND)
+    return df.join(got, ident, "left").withColumn("found", F.concat(F.coalesce("found", none), F.coalesce("_more", none))).drop("_more")
+
+
+FOUND = "array<struct<kind:string,s:string,word:string,n:bigint>>"
+
+
+def rarer_words(words: DataFrame, least: int) -> DataFrame:
+    """Words seen less than ``least`` times under themselves and under how they look: kind, s, word, n."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([looks(w) for w in b.column(0).to_pylist()], pa.string()), *b.columns], names=["s", "word", "n"])
+
+    rare = words.where(F.col("n") < least).select("word", "n")
+    means = rare.mapInArrow(run, "s string, word string, n long").groupBy("s").agg(F.max(F.struct("n", "word")).alias("b"))
+    return rare.select(F.lit("w").alias("kind"), F.col("word").alias("s"), "word", "n").unionByName(means.select(F.lit("l").alias("kind"), "s", "b.word", "b.n"))
+
+
+def head_rows(heads: DataFrame) -> DataFrame:
+    """Headers (key) under their keys and halves: kind, s, word, n."""
+    keys = F.when(F.length("key") >= 14, F.array_distinct(F.array("key", F.concat(F.lit("7"), F.left("key", F.lit(7))), F.concat(F.lit("7"), F.right("key", F.lit(7)))))).otherwise(F.array("key"))
+    return heads.select(F.lit("h").alias("kind"), F.explode(keys).alias("s"), F.col("key").alias("word"), F.lit(1).cast("long").alias("n"))
+
+
+def known(docs: DataFrame) -> tuple[Known, DataFrame | None, DataFrame | None]:
+    """Vocabulary and headers of ``docs``, both counted over all of them, the most frequent ones as :class:`Known`.
+
+    The rest, if there is any, comes as tables of rarer words and of further headers (kind, s, word, n).
+    """
     words = trusted_words(docs)
-    least = MIN_COUNT
     rows = words.limit(VOCABULARY_BOUND + 1).collect()
-    while len(rows) > VOCABULARY_BOUND:
-        least *= 2
-        rows = words.where(F.col("n") >= least).limit(VOCABULARY_BOUND + 1).collect()
+    rare = None
+    if len(rows) > VOCABULARY_BOUND:
+        words, least = cut(words), 2
+        while len(rows) > VOCABULARY_BOUND:
+            least *= 2
+            rows = words.where(F.col("n") >= least).limit(VOCABULARY_BOUND + 1).collect()
+        rare = cut(rarer_words(words, least))
     k = Known({r["word"]: r["n"] for r in rows})
-    found = repeated_lines(docs).limit(HEADS_BOUND + 1).collect()
-    if len(found) > HEADS_BOUND:
-        raise ValueError(f"more than {HEADS_BOUND} lines come back at page edges")
-    for r in found:
-        tokens = [t.strip(EDGE).lower() for t in r["sample"].split()]
-        tokens = [t for t in tokens if LETTERS.search(t)]
-        letters = sum(map(len, tokens))
-        strange = sum(len(t) for t in tokens if k.meant(t) is None)
-        if r["again"] or r["n_docs"] >= FREQUENT or (letters and strange / letters >= UNKNOWN):
-            k.heads.add(r["key"])
-    halves: dict[str, set[str]] = defaultdict(set)
-    for h in k.heads:
-        if len(h) >= 14:
-            halves[h[:7]].add(h)
-            halves[h[-7:]].add(h)
-    k.by_half = {a: frozenset(b) for a, b in halves.items()}
-    return k
+    lines = repeated_lines(docs)
+    found = lines.limit(HEADS_BOUND + 1).collect()
+    more = None
+    if len(found) <= HEADS_BOUND and rare is None:
+        k.heads = {r["key"] for r in found if r["again"] or strange(r["sample"], k)}
+    else:
+        lines = cut(lines)
+        if rare is not None:
+            lines = looked_up(lines, "key", lambda sample, _: asked_forms(sample_tokens(sample), k), ["sample"], rare)
+        else:
+            lines = lines.withColumn("found", F.lit(None).cast(FOUND))
+
+        def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [again or strange(sample, more_known(k, got)) for sample, again, got in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                yield b.select(["key", "n_docs"]).filter(pa.array(keep, pa.bool_()))
+
+        heads = cut(lines.select("key", "n_docs", "sample", "again", "found").mapInArrow(judge, "key string, n_docs long"))
+        first = heads.orderBy(F.col("n_docs").desc(), "key").limit(HEADS_BOUND).collect()
+        k.heads = {r["key"] for r in first}
+        if first and len(first) == HEADS_BOUND or not HEADS_BOUND:
+            last = first[-1] if first else None
+            after = (F.col("n_docs") < last["n_docs"]) | ((F.col("n_docs") == last["n_docs"]) & (F.col("key") > last["key"])) if last else F.lit(True)
+            more = head_rows(heads.where(after))
+    k.by_half = halves(k.heads)
+    return k, rare, more
 
 
 def furniture(text: str, title: str | None, first: int | None, last: int | None, k: Known) -> dict[int, str]:
@@ -398,21 +554,30 @@ def repaired(docs: DataFrame) -> DataFrame:
     """Each scanned record's text in paragraphs and what was repaired: afsc_doc_id, clean_text, repairs (line_no, kind, word).
 
     Null texts give no row, empty ones an empty text. Records are repaired one by one, whole; only the corpus's words and
-    headers are shared. Equal records each give their row.
+    headers are shared. Equal records each give their row. Words and headers beyond the bounds of the broadcast are looked
+    up by joins, so every text is repaired with all of them.
     """
-    found = known(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((found.words, found.heads, found.by_half))  # plain values: workers need no package
+    k, rare, more = known(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((k.words, k.heads, k.means, k.by_half))  # plain values: workers need no package
+    rows = scans(docs)
+    if more is not None:
+        rows = looked_up(rows, "afsc_doc_id", lambda text, _: asked_heads(text), ["raw_text"], more)
+    if rare is not None:
+        ask = lambda *row: asked_words(*row[:4], more_known(Known(*shared.value), row[4]))
+        rows = looked_up(rows, "afsc_doc_id", ask, ["raw_text", "title", "page_start", "page_end"], rare)
+    if "found" not in rows.columns:
+        rows = rows.withColumn("found", F.lit(None).cast(FOUND))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, heads, halves = shared.value
-        k = Known(words, heads, by_half=halves)
+        all_ = Known(*shared.value)
         kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("word", pa.string())]))
         for b in batches:
-            done = [repair(*row, k) for row in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)]
+            done = [repair(*row[:4], more_known(all_, row[4])) for row in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True)]
             events = [[{"line_no": n, "kind": x, "word": w} for n, x, w in sorted(set(e))] for e, _ in done]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for _, t in done], pa.string()), pa.array(events, kind)], names=["afsc_doc_id", "clean_text", "repairs"])
 
-    return scans(docs).mapInArrow(run, "afsc_doc_id long, clean_text string, repairs array<struct<line_no:int,kind:string,word:string>>")
+    columns = ["afsc_doc_id", "raw_text", "title", "page_start", "page_end", "found"]
+    return rows.select(*columns).mapInArrow(run, "afsc_doc_id long, clean_text string, repairs array<struct<line_no:int,kind:string,word:string>>")
 
 
 def repairs(docs: DataFrame) -> DataFrame:

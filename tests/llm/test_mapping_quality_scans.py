@@ -136,13 +136,53 @@ def test_headers_of_ordinary_words_at_any_size(spark):
         assert set(texts.values()) == {body.strip()} and len(texts) == n
 
 
-def test_too_many_repeated_lines_are_an_error(spark, monkeypatch):
-    rows = [(i, "T", f"Copper barn\nword\n{i}\nCopper barn\nword", None, i, i) for i in range(3)]
-    df = spark.createDataFrame(rows, "afsc_doc_id long, title string, raw_text string, clean_text string, page_start int, page_end int")
-    assert len(scans.known(df).heads) == 1
-    monkeypatch.setattr(scans, "HEADS_BOUND", 0)
-    with pytest.raises(ValueError):
-        scans.known(df)
+DOC = "afsc_doc_id long, title string, raw_text string, clean_text string, page_start int, page_end int"
+
+
+def corpus(rng, n):
+    """Trusted texts and scans of invented words, some in few texts, with headers of several files."""
+    vocabulary = ["".join(rng.choices("aeimnorstlud", k=rng.randint(3, 9))) for _ in range(80)]
+    broken = lambda w: rng.choice([w.replace("m", "rn", 1), w.replace("l", "1", 1), w[:2] + " " + w[2:], w])
+    rows = []
+    for i in range(n):
+        words = [rng.choice(vocabulary) if rng.random() > 0.3 else rng.choice(vocabulary[:9]) for _ in range(60)]
+        lines = [" ".join(words[j : j + 6]) for j in range(0, 60, 6)]
+        if i % 2:
+            rows.append((i, f"Title {i}", "\n".join(lines), "\n\n".join([" ".join(words)]), None, None))
+            continue
+        head = f"Bulletin of {'Kraaz Zwokk Quazz Jopp'.split()[i % 4]} Zjagg"
+        scan = []
+        for j, line in enumerate(lines):
+            if j % 5 == 0:
+                scan += [str(20 + j // 5), head if j or i % 3 else head[:-2] + "gq"]
+            ws = [broken(w) if rng.random() < 0.2 else w for w in line.split()]
+            if len(ws[-1]) > 5 and rng.random() < 0.5 and j < 9:
+                scan.append(" ".join(ws)[:-3] + "-")
+                lines[j + 1] = ws[-1][-3:] + " " + lines[j + 1]
+            else:
+                scan.append(" ".join(ws))
+        rows.append((i, f"Title {i}", "\n".join(scan), None, 20, 22))
+    return rows
+
+
+def test_rarer_words_and_headers_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(random.Random(21), 60), DOC)
+    get = lambda: sorted(map(tuple, scans.repaired(df).collect()))
+    want = get()
+    assert sum(len(r[2]) for r in want) > 100 and {e.kind for r in want for e in r[2]} == {"head", "page", "hyphen", "misread"}
+    for words, heads in ((10, 100_000), (10, 1), (1_000_000, 1), (0, 0)):
+        monkeypatch.setattr(scans, "VOCABULARY_BOUND", words)
+        monkeypatch.setattr(scans, "HEADS_BOUND", heads)
+        _, rare, more = scans.known(df)
+        assert (rare is not None) == (words < 100) and (more is not None) == (heads < 100)
+        assert get() == want
+
+
+def test_documents_loaded_again_change_nothing(spark):
+    rows = corpus(random.Random(22), 40)
+    once = {r.afsc_doc_id: tuple(r)[1:] for r in scans.repaired(spark.createDataFrame(rows, DOC)).collect()}
+    many = scans.repaired(spark.createDataFrame([(1000 * k + i, *rest) for k in range(20) for i, *rest in rows], DOC).repartition(6)).collect()
+    assert len(many) == 20 * len(once) and all(tuple(r)[1:] == once[r.afsc_doc_id % 1000] for r in many)
 
 
 def test_queries_run(spark):
