@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import cut
+
 #: Fixed names of the fields a text may hold.
 FIELDS = ("action", "object", "setting", "level")
 #: Of these all must be present for a text to count as fields.
@@ -51,41 +53,42 @@ def fingerprint(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0003", *[F.coalesce(F.concat(F.lit("\u0004"), p), F.lit("\u0005")) for p in parts])))
 
 
-def hot_keys(keyed: DataFrame, key: str, share: float, at_least: int, bins: int = 1 << 14) -> list[bytes]:
-    """Exactly the keys that hold at least ``max(at_least, share * rows)`` rows; at most ``1 / share`` of them.
+def hot_keys(keyed: DataFrame, key: str, share: float, bins: int = 1 << 14) -> DataFrame | None:
+    """Exactly the keys that hold at least ``share`` of the rows (two or more), as a table of at most ``1 / share`` rows; None if there is none.
 
     Partial counts by a hash of the key (``bins`` of them, added up inside each task before the shuffle) leave few bins
     that can hold a hot key; only their rows are counted by key.
     """
-    binned = keyed.groupBy(F.pmod(F.xxhash64(key), F.lit(bins)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = binned.agg(F.sum("_n").alias("n"), F.collect_list(F.when(F.col("_n") >= at_least, F.struct("_bin", "_n"))).alias("big")).first()
-    least = max(at_least, share * (counted["n"] or 0))
-    bins_hot = [x["_bin"] for x in counted["big"] if x["_n"] >= least]
+    bin_of = F.pmod(F.xxhash64(key), F.lit(bins))
+    binned = keyed.groupBy(bin_of.alias("_bin")).agg(F.count(F.lit(1)).alias("_n")).collect()  # at most ``bins`` rows
+    least = max(2.0, share * sum(x["_n"] for x in binned))
+    bins_hot = [x["_bin"] for x in binned if x["_n"] >= least]
     if not bins_hot:
-        return []
-    rows = keyed.where(F.pmod(F.xxhash64(key), F.lit(bins)).isin(bins_hot)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    return [bytes(x[0]) for x in rows.select(key).collect()]
+        return None
+    hot = cut(keyed.where(bin_of.isin(bins_hot)).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key))
+    return None if hot.isEmpty() else hot
 
 
-def collapse(keyed: DataFrame, key: str, ident: str, share: float = 0.001, at_least: int = 10_000, salts: int = 64) -> DataFrame:
-    """One row for each ``key``: the smallest ``ident`` as ``keep_id`` and the number of rows as ``n_copies``.
+def collapse(keyed: DataFrame, key: str, ident: str, share: float = 0.001, salts: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each ``key``: the smallest ``ident`` as ``keep_id``, the number of rows as ``n_copies``, and ``keep``.
 
     Hot keys (see :func:`hot_keys`) are salted into a first level and added up in a second; all others need the first
     shuffle only. Both levels carry partial sums. Null keys are no key and left out; rows with a null ``ident`` count
-    but are never kept as ``keep_id`` unless the whole set has none.
+    but are never kept as ``keep_id`` unless the whole set has none. Columns ``keep`` are the same in all rows of a key.
+    Keys are read several times: they are kept once, as small rows.
     """
-    rows = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(ident).alias("_id"))
-    hot = hot_keys(rows, "_key", share, at_least)
+    rows = cut(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(ident).alias("_id"), *keep))
+    hot = hot_keys(rows, "_key", share)
 
     def level(df: DataFrame, *by: str, first: bool) -> DataFrame:
         count = F.count(F.lit(1)) if first else F.sum("n_copies")
-        return df.groupBy(*by).agg(F.min("_id" if first else "keep_id").alias("keep_id"), count.alias("n_copies"))
+        return df.groupBy(*by, *keep).agg(F.min("_id" if first else "keep_id").alias("keep_id"), count.alias("n_copies"))
 
-    if not hot:
+    if hot is None:
         return level(rows, "_key", first=True).drop("_key")
-    is_hot = F.col("_key").isin([F.lit(x) for x in hot])
-    cold = level(rows.where(~is_hot), "_key", first=True)
-    salted = level(rows.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts))), "_key", "_salt", first=True)
+    hot = F.broadcast(hot)  # 1 / share keys at most
+    cold = level(rows.join(hot, "_key", "left_anti"), "_key", first=True)
+    salted = level(rows.join(hot, "_key", "left_semi").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts))), "_key", "_salt", first=True)
     return cold.drop("_key").unionByName(level(salted, "_key", first=False).drop("_key"))
 
 
@@ -104,7 +107,7 @@ def candidate_keys(candidates: DataFrame) -> DataFrame:
 
 
 def copy_sets(items: DataFrame, candidates: DataFrame, **how) -> DataFrame:
-    """One row for each set of two or more copies of either table: src, keep_id, n_copies."""
-    a = collapse(item_keys(items), "key", "id", **how).select(F.lit("ksa_item").alias("src"), "keep_id", "n_copies")
-    b = collapse(candidate_keys(candidates), "key", "id", **how).select(F.lit("ksa_candidates_v0_raw").alias("src"), "keep_id", "n_copies")
-    return a.unionByName(b).where(F.col("n_copies") > 1)
+    """One row for each set of two or more copies of either table: src, keep_id, n_copies. Both tables are collapsed in one."""
+    of = lambda df, src: df.select("id", F.concat(F.lit(src[4:5].encode()), "key").alias("key"), F.lit(src).alias("src"))
+    keyed = of(item_keys(items), "ksa_item").unionByName(of(candidate_keys(candidates), "ksa_candidates_v0_raw"))
+    return collapse(keyed, "key", "id", keep=("src",), **how).select("src", "keep_id", "n_copies").where(F.col("n_copies") > 1)

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import copies, topn
@@ -46,17 +47,33 @@ def test_hot_and_cold_keys_agree(spark):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.4 else f"k{rng.randint(0, 400)}", i) for i in range(4000)] + [(None, 5)]
     df = spark.createDataFrame(rows, "key string, id long").repartition(5)
-    assert copies.hot_keys(df.select(F.encode("key", "utf-8").alias("key")).where("key is not null"), "key", 0.1, 100) == [b"hot"]
+    coded = df.select(F.encode("key", "utf-8").alias("key")).where("key is not null")
+    assert [bytes(r.key) for r in copies.hot_keys(coded, "key", 0.1).collect()] == [b"hot"]
     want = defaultdict(list)
     for k, i in rows:
         if k is not None:
             want[k].append(i)
+    assert {bytes(r.key).decode() for r in copies.hot_keys(coded, "key", 0.003).collect()} == {k for k, v in want.items() if len(v) >= 0.003 * 4000}
+    assert copies.hot_keys(coded, "key", 0.9) is None
     keyed = df.select(F.encode("key", "utf-8").alias("key"), "id")
-    for least in (100, 10**9):
-        got = {(r.keep_id, r.n_copies) for r in copies.collapse(keyed, "key", "id", 0.1, least).collect()}
+    for share in (0.9, 0.1, 0.003, 1e-9):
+        got = {(r.keep_id, r.n_copies) for r in copies.collapse(keyed, "key", "id", share).collect()}
         assert got == {(min(v), len(v)) for v in want.values()}
 
 
+def test_hot_sets_of_the_tables_are_salted(spark):
+    """At every size of the test tables some sets hold a thousandth of the rows, so the two-level branch is what runs."""
+    from pathlib import Path
+
+    from skein.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    if not Path(data).exists():
+        pytest.skip("no test tables here")
+    plan = queries.p5_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "LeftSemi" in plan and "LeftAnti" in plan
+
+
 def test_canonical_fields(spark):
     same = [
         "action=install | object=Radar sets | level=7 | setting=in the field", '{"level": "7", "object": "radar  sets", "setting": "In the field", "action": "install"}',
