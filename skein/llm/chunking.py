@@ -1,8 +1,9 @@
 """Texts over a size limit, cut at natural boundaries with an overlap.
 
 Every place where a piece might start (the start of the text, and the overlap before every boundary) is a node; it is
-joined to the farthest legal end of its piece, which gives the start of the piece after it. Squaring that successor
-table (pointer doubling) marks all greedy cuts of all texts of a block at once, in log2(pieces) steps over arrays
+joined to the farthest legal end of its piece, which gives the start of the piece after it (in an unbroken passage: of
+the first piece after the whole row of cuts made anywhere). Squaring that successor table (pointer doubling) marks all
+greedy cuts of all texts of a block at once, in log2(pieces) steps over arrays
 instead of a walk along each text.
 """
 
@@ -62,30 +63,44 @@ def cuts(texts: list[str], limit: int, least: int, overlap: int) -> tuple[np.nda
     parts = [boundaries(t, int(b)) for t, b in zip(texts, zero, strict=True)]
     levels = [np.concatenate([p[i] for p in parts]) for i in range(3)]
 
-    def step(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """End of the piece that starts at each s, and whether it is the last of its text."""
+    natural = np.unique(np.concatenate(levels)) if any(len(x) for x in levels) else np.empty(0, dtype=np.int64)
+    stride = limit - overlap
+
+    def step(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End of the piece that starts at each s, how many pieces cut anywhere come in a row there, and whether it is the last of its text.
+
+        In an unbroken passage the pieces start at s, s + stride, ...; how many there are follows from the next boundary and
+        the end of the text.
+        """
         end_of = stop[np.searchsorted(stop, s, side="right")]
         last = end_of - s <= limit
         e = np.full(len(s), -1, dtype=np.int64)
         for places in levels:
             e = np.where(e < 0, _last(places, s + least, s + limit), e)
-        return np.where(last, end_of, np.where(e < 0, s + limit, e)), last
+        at = np.searchsorted(natural, s + limit, side="right")
+        following = np.where(at < len(natural), natural[np.minimum(at, len(natural) - 1)], end_of) if len(natural) else end_of
+        reach = np.minimum(following, end_of)  # the piece that has it within its limit isn't cut just anywhere
+        run = np.where(last | (e >= 0), 1, np.maximum(1, -(-(reach - limit - s) // stride)))
+        return np.where(last, end_of, np.where(e < 0, s + limit, e)), run, last
 
-    natural = np.unique(np.concatenate(levels)) if any(len(x) for x in levels) else np.empty(0, dtype=np.int64)
     back = natural - overlap
     begin = zero[np.searchsorted(stop, natural, side="left")] if len(natural) else natural
-    nodes = fresh = np.unique(np.concatenate([zero, back[back > begin]]))
-    ends, lasts = step(nodes)
-    e, last = ends, lasts
-    while True:  # cuts inside unbroken passages start pieces at places that are no boundary less the overlap
-        fresh = np.setdiff1d((e - overlap)[~last], nodes)
+    nodes = np.unique(np.concatenate([zero, back[back > begin]]))
+    found = [(nodes, *step(nodes))]
+    seen: set[int] = set()
+    fresh = nodes
+    while True:  # a row of cuts in an unbroken passage may start the next piece at a place that is no boundary less the overlap
+        at, e, run, last = found[-1]
+        fresh = np.setdiff1d((e + (run - 1) * stride - overlap)[~last], nodes)
+        fresh = np.array([x for x in fresh.tolist() if x not in seen], dtype=np.int64)
         if not len(fresh):
             break
-        e, last = step(fresh)
-        nodes, ends, lasts = np.concatenate([nodes, fresh]), np.concatenate([ends, e]), np.concatenate([lasts, last])
-        by = np.argsort(nodes, kind="stable")
-        nodes, ends, lasts = nodes[by], ends[by], lasts[by]
-    jump = np.where(lasts, np.arange(len(nodes)), np.searchsorted(nodes, ends - overlap))
+        seen.update(fresh.tolist())
+        found.append((fresh, *step(fresh)))
+    nodes, ends, runs, lasts = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.argsort(nodes, kind="stable")
+    nodes, ends, runs, lasts = nodes[by], ends[by], runs[by], lasts[by]
+    jump = np.where(lasts, np.arange(len(nodes)), np.searchsorted(nodes, ends + (runs - 1) * stride - overlap))
     reached = np.zeros(len(nodes), dtype=bool)
     reached[np.searchsorted(nodes, zero)] = True
     while True:
@@ -95,7 +110,9 @@ def cuts(texts: list[str], limit: int, least: int, overlap: int) -> tuple[np.nda
         if (more == reached).all():
             break
         reached = more
-    s, e = nodes[reached], ends[reached]
+    times = runs[reached]
+    shift = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * stride
+    s, e = np.repeat(nodes[reached], times) + shift, np.repeat(ends[reached], times) + shift
     which = np.searchsorted(stop, s, side="right")
     return which, s - zero[which], e - zero[which]
 

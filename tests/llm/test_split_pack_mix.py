@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -42,6 +43,23 @@ def test_pieces_against_walk(spark):
         assert sorted(got.get(i, [])) == [(k, *x) for k, x in enumerate(want)]
 
 
+def test_unbroken_passages_against_walk():
+    rng = random.Random(14)
+    for _ in range(60):
+        text = "".join("x" * rng.randint(1, 4000) + rng.choice([" ", ". ", "\n\n", ""]) for _ in range(rng.randint(1, 12)))
+        text += "y" * max(0, 1201 - len(text))
+        which, s, e = chunking.cuts([text, "z" * 2500, text], 1200, 600, 150)
+        for k, t in enumerate((text, "z" * 2500, text)):
+            assert list(zip(s[which == k].tolist(), e[which == k].tolist(), strict=True)) == walk(t)
+
+
+def test_long_unbroken_text_is_quick():
+    start = time.perf_counter()
+    _, s, e = chunking.cuts(["q" * 50_000_000], 1200, 600, 150)
+    assert time.perf_counter() - start < 5 and len(s) == -(-(50_000_000 - 1200) // 1050) + 1 and e[-1] == 50_000_000
+    assert (s[1:] == e[:-1] - 150).all() and (e - s <= 1200).all()
+
+
 def test_sentences_and_abbreviations():
     text = "2.1. First e.g. one. Second No. 5? Third i.e. x!\n\n3. approx. 4."
     _, ends, _ = chunking.boundaries(text)
