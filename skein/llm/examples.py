@@ -57,8 +57,15 @@ def _wrap(text: str, width: int) -> str:
     return "\n".join([*lines, line])
 
 
+def _varied(rng: random.Random, sentence: str) -> str:
+    """The sentence with half of its longer words exchanged for invented ones, as running text doesn't say the same twice."""
+    word = lambda n: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s"]) for _ in range(max(2, n // 3)))
+    return " ".join(word(len(w)) if len(w) > 5 and w.isalpha() and rng.random() < 0.5 else w for w in sentence.split())
+
+
 def _prose(rng: random.Random, n: int, lang: str) -> str:
-    return " ".join(rng.choice(PROSE[lang]) if n > len(PROSE[lang]) else s for s in rng.sample(PROSE[lang], min(n, len(PROSE[lang]))) + [rng.choice(PROSE[lang]) for _ in range(n - len(PROSE[lang]))])
+    first = rng.sample(PROSE[lang], min(n, len(PROSE[lang])))
+    return " ".join(first + [_varied(rng, rng.choice(PROSE[lang])) for _ in range(n - len(first))])
 
 
 def _entry(rng: random.Random) -> str:
@@ -107,7 +114,7 @@ def _list(rng: random.Random, n: int, style: str) -> str:
     elif style == "numbered run":
         body = " ".join(f"{i}) {x};" for i, x in enumerate(items, 1))
     else:
-        marks = {"dash": lambda i: "- ", "dot": lambda i: "• ", "nested": lambda i: rng.choice(["    - ", "  + ", "•\t", "+ "]), "box": lambda i: rng.choice(["[ ] ", "[x] "]), "number": lambda i: f"{i}. ", "paren": lambda i: f"{i}) ", "letter": lambda i: f"{chr(97 + i % 26)}) ", "decimal": lambda i: f"2.{i}. "}
+        marks = {"dash": lambda i: "- ", "dot": lambda i: "• ", "circle": lambda i: "o ", "nested": lambda i: rng.choice(["    - ", "  + ", "•\t", "+ "]), "box": lambda i: rng.choice(["[ ] ", "[x] "]), "number": lambda i: f"{i}. ", "paren": lambda i: f"{i}) ", "letter": lambda i: f"{chr(97 + i % 26)}) ", "decimal": lambda i: f"2.{i}. "}
         mark = marks.get(style, lambda i: "")
         stop = rng.choice(["", "", ".", ";"])
         page = (lambda i: " " + "." * rng.randint(8, 30) + f" {i}") if style == "contents" else (lambda i: stop)
@@ -153,7 +160,8 @@ def examples(seed: int = 11) -> list[tuple[str, str, str]]:
     rng = random.Random(seed)
     out: list[tuple[str, str, str]] = []
     for lang in PROSE:
-        for style, n in (("short", 1), ("short", 2), ("plain", 5), ("plain", 9), ("plain", 16), ("long", 60), ("wrapped", 6), ("wrapped", 14), ("headed", 4), ("headed", 10), ("lines", 8), ("answers", 8)):
+        out += [(f"prose short {'en' if lang == 'en' else 'other'}", "prose", s) for s in PROSE[lang]]
+        for style, n in (("short", 2), ("plain", 5), ("plain", 9), ("plain", 16), ("long", 60), ("wrapped", 6), ("wrapped", 14), ("headed", 4), ("headed", 10), ("lines", 8), ("answers", 8)):
             for _ in range(3 if lang == "en" else 1):
                 text = _prose(rng, n, lang)
                 if style == "wrapped":
@@ -173,7 +181,7 @@ def examples(seed: int = 11) -> list[tuple[str, str, str]]:
         for rows in (4, 8, 14, 25, 40):
             for remark in (False, True):
                 out.append((f"table {style}{' with remarks' * remark}", "table", _table(rng, rows, style, remark)))
-    for style in ("dash", "dot", "nested", "box", "number", "paren", "letter", "decimal", "bare", "contents", "run", "numbered run"):
+    for style in ("dash", "dot", "circle", "nested", "box", "number", "paren", "letter", "decimal", "bare", "contents", "run", "numbered run"):
         for n in (6, 12, 24, 40):
             for _ in range(2):
                 out.append((f"list {style}", "list", _list(rng, n, style)))

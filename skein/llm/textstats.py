@@ -4,41 +4,72 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from math import log
+from itertools import chain
+
+import numpy as np
 
 #: The figures, in the order of the vectors.
 STATS = (
     "n_chars", "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "punct_line_share", "common_share", "words_per_segment",
     "words_per_piece", "marker_share", "cell_share", "clean_share", "packed_ratio", "vowel_share", "longest_token", "distinct_lines", "strange_share", "stop_share", "prose_share",
 )
-WORD, PLAIN_WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
 CLEAN = re.compile(r"[(\"'“„«¿¡]*(?:[^\W\d_]+(?:['’-][^\W\d_]+)*-?|\d{1,4}(?:[.:]\d\d)?)[)\"'”“»]*[.,;:!?]*[)\"'”“»]*\Z")
-MARKER = re.compile(r"\s*(?:[-+*•★●▪◦–→·»>#]\s|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s|\d+(?:\.\d+)+\.?\s|\d{1,3}\s[-–]\s)")
+MARKER = re.compile(r"\s*(?:[-+*•★●▪◦–→·»>#o]\s|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s|\d+(?:\.\d+)+\.?\s|\d{1,3}\s[-–]\s)")
 LEADER = re.compile(r"(?:\.{4,}|(?: \.){4,})\s*\d+\s*\Z")
 RULE = re.compile(r"[\s|+:=_-]{3,}\Z")
 CELLS = re.compile(r"\s*\|\s*|\t+|\s{2,}|;|,")
 STOPS = (". ", "! ", "? ", "… ", ": ", "; ")
-PIECES = str.maketrans(dict.fromkeys(",;|\t:", "\n"))
+PIECES = (",", ";", "|", "\t", ":", "  ", " / ")
 END = re.compile(r"[.!?:;…][\"'”»)]*\s*\Z")
 STRANGE = re.compile(r"[^\w\s.,;:!?'\"()\[\]{}<>/|+*=&%$#@~^`\\_’‘“”„«»–—•★…¿¡°§€-]|[ÃÂâ][^\w\s]|[ÃÂ][ -¿]|â€")
+#: What divides a segment that is no sentence, if there is much of it.
+APART = (",", "|", "\t", "  ", '";')
+#: Below this packed size a text of some length says the same thing over and over.
+REPEATED, REPEATED_FROM = 0.11, 150
 #: Words from which a segment can be a sentence.
 SENTENCE = 8
-VOWELS = b"aeiouyAEIOUY"
-MORE_VOWELS = "àáâäãåæèéêëìíîïòóôöõœùúûü"
-
+VOWELS = frozenset("aeiouyàáâäãåæèéêëìíîïòóôöõœùúûü")
+#: Tokens whose figures a worker remembers, and tokens that are added up at once.
+REMEMBERED, AT_ONCE = 1 << 17, 1 << 18
 
-class _Clean(dict):
-    """Whether a token is a word or a short number with nothing but marks around it; starts anew when it has grown large."""
 
-    def __missing__(self, token: str) -> bool:
-        if len(self) > 1 << 18:
-            self.clear()
-        self[token] = got = CLEAN.match(token) is not None
-        return got
+class Tokens(dict):
+    """Numbers of tokens (runs without white space), whose figures are rows of ``rows``; starts anew when it has grown large.
 
+    The figures: length, letters, words, digits, vowels, whether it ends a sentence, whether it is a word or a short number
+    with nothing but marks around it, and its common words of each language.
+    """
 
-_clean = _Clean()
+    def __init__(self, common: dict[str, frozenset[str]]) -> None:
+        super().__init__()
+        self.common = [c for _, c in sorted(common.items())]
+        self.rows = np.zeros((REMEMBERED, 7 + len(self.common)), dtype=np.int32)
+
+    def __missing__(self, token: str) -> int:
+        n = len(self)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        low = token.lower()
+        if token.isascii() and token.isalpha():
+            words, letters, digits, clean = [low], len(token), 0, 1
+        else:
+            words = WORD.findall(low)
+            letters, digits, clean = sum(map(len, words)), sum(1 for c in token if "0" <= c <= "9"), CLEAN.match(token) is not None
+        vowels = sum(1 for c in low if c in VOWELS)
+        self.rows[n] = [len(token), letters, len(words), digits, vowels, token[-1] in ".!?", clean, *(sum(1 for w in words if w in c) for c in self.common)]
+        self[token] = n
+        return n
+
+    def sums(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The figures added up over each list, and its longest token; no list may be empty."""
+        if len(self) > REMEMBERED // 2:
+            self.__init__(dict(enumerate(self.common)))
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(sizes.sum()))
+        rows = self.rows[ids]
+        at = np.cumsum(sizes) - sizes
+        return np.add.reduceat(rows, at, axis=0, dtype=np.int64), np.maximum.reduceat(rows[:, 0], at)
 
 
 def marks(lines: list[str]) -> int:
@@ -67,85 +98,112 @@ def unwrapped(text: str) -> tuple[str, list[str]]:
     return "".join(out), full
 
 
+def _cells(x: str) -> int:
+    """Short cells of a line, -1 for a rule, 0 for fewer than three."""
+    if len(x) > 400:
+        return 0
+    if x[0] in " |+:=_-\t" and RULE.match(x):
+        return -1
+    tabs, bars, semis = "\t" in x, x.count("|"), x.count(";")
+    wide = "  " in x or not x.isascii()
+    if not (tabs or bars > 2 or semis > 1 or wide) and x.count(",") < 2:
+        return 0
+    s = x.strip()
+    cells = s.count("\t") + 1 if "\t" in s else bars - 1 if bars > 2 else semis + 1 if semis > 1 else len([c for c in re.split(r"\s{2,}", s) if c]) if wide else 1
+    if cells < 3 and s.count(",") > 1:
+        cells = s.count(",") + 1
+        if len(s.split()) > 3 * cells:
+            cells = 0
+    return cells if cells >= 3 else 0
+
+
 def cell_share(lines: list[str]) -> float:
     """Share of the lines that are rows: three short cells or more, as many as another row near by has."""
     if len(lines) < 2:
         return 0.0
-    counts, rules = [], 0
-    for x in lines:
-        if len(x) > 400:
-            counts.append(0)
-        elif RULE.match(x):
-            rules += 1
-            counts.append(-1)
-        else:
-            s = x.strip()
-            cells = s.count("\t") + 1 if "\t" in s else s.count("|") - 1 if s.count("|") > 2 else s.count(";") + 1 if s.count(";") > 1 else len([c for c in re.split(r"\s{2,}", s) if c])
-            if cells < 3 and s.count(",") > 1:
-                cells = s.count(",") + 1
-                if len(s.split()) > 3 * cells:
-                    cells = 0
-            counts.append(cells if cells >= 3 else 0)
-    near = 0
-    for i, c in enumerate(counts):
-        if c > 0 and (c in counts[max(0, i - 3) : i] or c in counts[i + 1 : i + 4]):
-            near += 1
+    counts = [_cells(x) for x in lines]
+    rules = counts.count(-1)
+    near = sum(1 for i, c in enumerate(counts) if c > 0 and (c in counts[max(0, i - 3) : i] or c in counts[i + 1 : i + 4]))
     return (near + (rules if near else 0)) / len(lines)
 
 
-def text_stats(text: str, common: dict[str, frozenset[str]]) -> list[float]:
-    """The figures ``STATS`` of a text that isn't blank; ``common`` has the common words of each language.
+def _packed(raw: bytes) -> int:
+    press = zlib.compressobj(1)
+    return len(press.compress(raw)) + len(press.flush())
 
-    The language is the one whose common words are met most, since what is said of it is not to be trusted.
-    """
-    size = len(text)
-    low = text.lower()
-    plain = text.isascii()
-    words = (PLAIN_WORD if plain else WORD).findall(low)
-    n = len(words)
+
+def layout(text: str) -> tuple[float, ...]:
+    """What the lines, segments and bytes of a text say: shares of lines, squares and sums of segment lengths, pieces, packed size."""
     flat, lines = unwrapped(text)
-    tokens = text.split()
-    letters = sum(map(len, words))
-    spaces = size - sum(map(len, tokens))
-    counts = Counter(words)
-    share = max((sum(counts[w] for w in c if w in counts) for c in common.values()), default=0) / n if n else 0.0
     spread = flat
     for stop in STOPS:
-        spread = spread.replace(stop, stop[0] + "\n")
+        if stop in spread:
+            spread = spread.replace(stop, stop[0] + "\n")
     squares = total = running = 0
-    for seg in spread.split("\n"):
-        seg = seg.strip()
+    apart = [x for x in APART if x in spread]
+    for seg in map(str.strip, spread.split("\n")):
         if seg:
             k = seg.count(" ") + 1
             squares += k * k
             total += k
-            if k >= SENTENCE and seg[-1] in ".!?…:;" and k >= 3.5 * (1 + seg.count(",") + seg.count("|") + seg.count("\t") + seg.count("  ") + seg.count('";')):
+            if k >= SENTENCE and seg[-1] in ".!?…:;" and k >= 3.5 * (1 + sum([seg.count(x) for x in apart])):
                 running += k
-    pieces = sum(1 for p in spread.translate(PIECES).replace("  ", "\n").replace(" / ", "\n").split("\n") if p and not p.isspace())
+    for mark in PIECES:
+        if mark in spread:
+            spread = spread.replace(mark, "\n")
+    pieces = sum(map(bool, map(str.strip, spread.split("\n"))))
     raw = text.encode("utf-8", "surrogatepass")
-    digits = len(raw) - len(raw.translate(None, b"0123456789"))
-    vowels = len(raw) - len(raw.translate(None, VOWELS)) + (0 if plain else sum(map(low.count, MORE_VOWELS)))
     ended = sum(1 for x in lines if x[-1] in ".!?" or END.search(x[-6:]))
-    kinds = Counter(tokens)
-    stops = clean = 0
-    for t, k in kinds.items():
-        if t[-1] in ".!?":
-            stops += k
-        if _clean[t]:
-            clean += k
-    return [
-        float(size), float(n), letters / n if n else 0.0, (size - letters - digits - spaces) / max(1, size - spaces), digits / max(1, size - spaces), ended / max(1, len(lines)), share,
-        squares / max(1, total), len(tokens) / max(1, pieces), marks(lines) / max(1, len(lines)), cell_share(lines),
-        clean / max(1, len(tokens)), len(zlib.compress(raw, 1)) / (len(raw) + 60), vowels / max(1, letters),
-        float(max(map(len, kinds), default=0)), len(set(lines)) / max(1, len(lines)), 0.0 if plain else len(STRANGE.findall(text)) / size, stops / max(1, len(tokens)), running / max(1, len(tokens)),
-    ]
-
-
-def vector(s: list[float]) -> list[float]:
-    """The figures as the mixture sees them: lengths as logarithms, the sentence's stops against its words."""
-    d = dict(zip(STATS, s, strict=True))
-    return [
-        log(1 + d["mean_word_len"]), min(d["symbol_ratio"], 0.5), min(d["digit_ratio"], 0.5), d["common_share"], log(1 + d["words_per_segment"]), log(1 + min(d["words_per_piece"], 60)),
-        d["marker_share"], d["cell_share"], d["clean_share"], log(0.02 + min(d["packed_ratio"], 0.6)), min(d["vowel_share"], 0.6), log(1 + min(d["longest_token"], 200)),
-        d["distinct_lines"], min(20 * d["strange_share"], 2.0), min(10 * d["stop_share"], 1.5), d["prose_share"],
-    ]
+    n = max(1, len(lines))
+    strange = 0 if text.isascii() else len(STRANGE.findall(text)) / len(text)
+    return (float(len(text)), ended / n, squares / max(1, total), pieces, marks(lines) / n, cell_share(lines), _packed(raw) / (len(raw) + 60), len(set(lines)) / n, strange, running)
+
+
+def stats_of(texts: list[str], tokens: Tokens) -> np.ndarray:
+    """The figures ``STATS`` of texts none of which is blank, one row each; ``tokens`` knows the common words.
+
+    The language is the one whose common words are met most, since what is said of it is not to be trusted. What is said of
+    a token is remembered and added up, so only lines and segments are looked at text by text.
+    """
+    out = np.zeros((len(texts), len(STATS)))
+    at = 0
+    while at < len(texts):
+        lists, held, start = [], 0, at
+        while at < len(texts) and (not lists or held < AT_ONCE):
+            lists.append(texts[at].split() or [texts[at]])  # nothing but control characters that count as blanks
+            held += len(lists[-1])
+            at += 1
+        sums, longest = tokens.sums(lists)
+        size, ended, per_segment, pieces, marked, cells, packed, distinct, strange, running = np.array([layout(t) for t in texts[start:at]]).T
+        counts = np.array([len(x) for x in lists], dtype=float)
+        seen, letters, words, digits, vowels, stops, clean = sums[:, :7].T.astype(float)
+        solid = np.maximum(1, seen)
+        common = sums[:, 7:].max(axis=1) if sums.shape[1] > 7 else np.zeros(len(sums))
+        some = np.maximum(1, words)
+        out[start:at] = np.stack([
+            size, words, letters / some, (seen - letters - digits) / solid, digits / solid, ended, common / some, per_segment, counts / np.maximum(1, pieces), marked, cells,
+            clean / counts, packed, vowels / np.maximum(1, letters), longest.astype(float), distinct, strange, stops / counts, running / counts,
+        ], axis=1)
+    return out
+
+
+def text_stats(text: str, common: dict[str, frozenset[str]]) -> list[float]:
+    """The figures ``STATS`` of one text that isn't blank; ``common`` has the common words of each language."""
+    return stats_of([text], Tokens(common))[0].tolist()
+
+
+def vectors(stats: np.ndarray) -> np.ndarray:
+    """The figures as the mixture sees them, one row each: lengths as logarithms, the sentence's stops against its words.
+
+    Two say yes or no, so that the mixture can hold such texts apart: whether a text of some length packs to almost nothing,
+    and whether it mostly consists of whole sentences in clean, common words.
+    """
+    d = dict(zip(STATS, stats.T, strict=True))
+    log, least = np.log, np.minimum
+    running = (d["prose_share"] >= 0.5) & (d["clean_share"] >= 0.8) & (d["common_share"] >= 0.08)
+    repeated = (d["packed_ratio"] < REPEATED) & (d["n_chars"] > REPEATED_FROM)
+    return np.stack([
+        log(1 + d["mean_word_len"]), least(d["symbol_ratio"], 0.5), least(d["digit_ratio"], 0.5), d["common_share"], log(1 + d["words_per_segment"]), log(1 + least(d["words_per_piece"], 60)),
+        d["marker_share"], d["cell_share"], d["clean_share"], log(0.02 + least(d["packed_ratio"], 0.6)), least(d["vowel_share"], 0.6), log(1 + least(d["longest_token"], 200)),
+        d["distinct_lines"], least(20 * d["strange_share"], 2.0), least(10 * d["stop_share"], 1.5), d["prose_share"], running.astype(float), repeated.astype(float),
+    ], axis=1)

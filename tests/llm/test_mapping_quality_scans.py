@@ -88,7 +88,7 @@ def test_kinds_of_held_out_examples(spark):
 def test_stats_of_odd_texts():
     words = {"en": frozenset({"the"})}
     for t in ("a", "=" * 9000, "\x00\x01", "🛩" * 50, "\r\n\r\nx", "|" * 40, "1", "\ud83d".encode("utf-16", "surrogatepass").decode("utf-16", "replace"), "word " * 50_000):
-        assert len(textstats.text_stats(t, words)) == len(textstats.STATS) and all(np.isfinite(textstats.vector(textstats.text_stats(t, words))))
+        assert len(textstats.text_stats(t, words)) == len(textstats.STATS) and np.isfinite(textstats.vectors(np.array([textstats.text_stats(t, words)]))).all()
 
 
 def test_scan_repair():
