@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.llm.tokens import token_sizes
 from skein.session import cut
 
-#: Residual records that one task of the reduction tree joins at most, a source.
-FAN_IN = 64
+#: Records of a source that are rounded together, on average, and residual records that the reduction tree joins at most.
+BUCKET, FAN_IN = 50_000, 64
 #: Up to so many sources with a target their plan is broadcast.
 SOURCES_BOUND = 100_000
 
@@ -52,35 +48,21 @@ def pivot(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
     return p, i
 
 
-def _round(names: list[str], seed: int, last: bool):
-    """Arrow pass that rounds ``_p`` of the rows of each source it sees; the open one of each source keeps its fraction.
+def _rounded(names: list[str], seed: int, last: bool):
+    """Rounds ``_p`` of a group of one source; at most one record keeps its fraction, or with ``last`` is rounded by its own chance.
 
-    With ``last`` the open one is rounded by its own chance, so that nothing stays open.
+    Order and draws follow from the records alone, so the same records give the same result however they are divided.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[object, pd.DataFrame] = {}
-        for b in batches:
-            df = b.to_pandas()
-            for source, rows in df.groupby("source", sort=True):
-                if source in held:
-                    rows = pd.concat([held.pop(source), rows])  # the open record of the batches before goes first
-                ids = rows["_draw"].to_numpy(dtype=np.int64)
-                rng = np.random.default_rng([seed, int(ids[0]) & 0x7FFFFFFF, len(rows)])
-                p, at = pivot(rows["_p"].to_numpy(dtype=float), rows["tokens"].to_numpy(dtype=float), rng)
-                rows = rows.assign(_p=p)
-                if at >= 0:
-                    held[source] = rows.iloc[[at]]
-                    rows = rows.drop(rows.index[[at]]) if rows.index.is_unique else rows.iloc[np.arange(len(rows)) != at]
-                if len(rows):
-                    yield pa.RecordBatch.from_pandas(rows[names], preserve_index=False, schema=b.schema.empty_table().select(names).schema)
-        for source, rows in held.items():
-            if last:
-                draw = np.random.default_rng([seed, int(rows["_draw"].iloc[0]) & 0x7FFFFFFF]).random()
-                rows = rows.assign(_p=(draw < rows["_p"]).astype(float))
-            yield pa.RecordBatch.from_pandas(rows[names], preserve_index=False, schema=b.schema.empty_table().select(names).schema)
-
-    return run
+    def group(table: pa.Table) -> pa.Table:
+        table = table.select(names).sort_by([("tokens", "descending"), ("_draw", "ascending")])  # small records last: the open one is small
+        rng = np.random.default_rng([seed, int(table["_draw"][0].as_py()) & 0x7FFFFFFF, table.num_rows])
+        p, at = pivot(table["_p"].to_numpy(), table["tokens"].to_numpy().astype(float), rng)
+        if last and at >= 0:
+            p[at] = float(rng.random() < p[at])
+        return table.set_column(names.index("_p"), "_p", pa.array(p))
+
+    return group
 
 
 def mix(sized: DataFrame, targets: DataFrame, ident: str = "doc_id", seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -89,70 +71,53 @@ def mix(sized: DataFrame, targets: DataFrame, ident: str = "doc_id", seed: int =
     ``sized`` has ``ident``, source, tokens; ``targets`` has source, target_share, max_uses (one row a source). The mix is
     as large as all records whose source has a target. A source wants target_share of that; each of its records gets
     wanted / available copies, max_uses at most. Whole copies are taken as they are; fractions are rounded by weighted
-    pivotal rounding: first inside every task, which leaves one open record a source and task, then these in a reduction
-    tree of fan-in ``FAN_IN``. So a source misses its size by less than one record, no shuffle carries more than one
-    record a source and task, and no source, however large, is gathered anywhere.
+    pivotal rounding: first in buckets by a hash of the record, some ``BUCKET`` records of one source each, which leaves one
+    open record a bucket, then these in a reduction tree of fan-in ``FAN_IN``. So a source misses its size by less than
+    one record, and no source, however large, is gathered anywhere. Buckets, order and draws follow from the records and
+    ``seed`` alone: the mix is the same however the input is divided into partitions.
 
     Records of null or unknown source, or of no size, take no part; a source with a target and no record has reached 0.
     Returns (``ident``, source, tokens, copies >= 1) and (source, target_share, max_uses, available, wanted, reached, share,
     short). ``sized`` is read several times: pass a written or checkpointed table.
     """
-    by_source = sized.where(F.col("source").isNotNull() & (F.col("tokens") > 0)).groupBy("source").agg(F.sum("tokens").alias("available"))
-    plan = targets.select("source", "target_share", "max_uses").join(by_source, "source", "left")
-    plan = plan.withColumn("available", F.coalesce("available", F.lit(0)))
-    plan = plan.withColumn("wanted", F.col("target_share") * F.sum("available").over(Window.partitionBy()))  # a row a source
+    by_source = sized.where(F.col("source").isNotNull() & (F.col("tokens") > 0)).groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("_n"))
+    plan = cut(targets.select("source", "target_share", "max_uses").join(by_source, "source", "left").withColumn("available", F.coalesce("available", F.lit(0))))  # a row a source
+    facts = plan.agg(F.sum("available").alias("size"), F.max("_n").alias("most"), F.count(F.lit(1)).alias("sources")).first()
+    plan = plan.withColumn("wanted", F.col("target_share") * F.lit(facts["size"] or 0))
     plan = plan.withColumn("uses", F.when(F.col("available") > 0, F.least(F.col("wanted") / F.col("available"), F.col("max_uses").cast("double"))).otherwise(F.lit(0.0)))
-    plan = cut(plan)  # as many rows as there are sources with a target
-    uses = plan.select("source", "uses")
-    if plan.count() <= SOURCES_BOUND:  # so a source with a third of all rows stays where it is; beyond, AQE splits it
+    uses = plan.select("source", "uses", F.ceil(F.col("_n") / BUCKET).alias("_buckets"))
+    if facts["sources"] <= SOURCES_BOUND:  # so a source with a third of all rows stays where it is; beyond, AQE splits it
         uses = F.broadcast(uses)
 
     whole = F.floor(F.col("uses") + 1e-9)
     rows = sized.select(ident, "source", "tokens").where(F.col("tokens") > 0).join(uses, "source")
     rows = rows.select(
-        F.col(ident), "source", F.col("tokens").cast("long").alias("tokens"), whole.cast("int").alias("_whole"),
-        F.greatest(F.col("uses") - whole, F.lit(0.0)).alias("_p"), F.xxhash64(ident, F.lit(seed)).alias("_draw"),
+        F.col(ident), "source", F.col("tokens").cast("long").alias("tokens"), whole.cast("int").alias("_whole"), F.greatest(F.col("uses") - whole, F.lit(0.0)).alias("_p"),
+        F.xxhash64(ident, F.lit(seed)).alias("_draw"), F.pmod(F.xxhash64(ident, F.lit(seed + 1)), "_buckets").alias("_bucket"),
     )
-    names = rows.columns
-    rows = rows.sortWithinPartitions("source", F.col("tokens").desc(), ident)  # small records last: the open one is small
-    level = rows.mapInArrow(_round(names, seed, last=False), rows.schema).withColumn("_task", F.spark_partition_id())
-    level = cut(level)
-    tasks = level.rdd.getNumPartitions()
+    done = rows.where(F.col("_p") <= 0)
+    rest = rows.where(F.col("_p") > 0)
+    buckets = -(-(facts["most"] or 0) // BUCKET)
     is_open = (F.col("_p") > 0) & (F.col("_p") < 1)
-    done = level.where(~is_open).drop("_task")
-    rest = level.where(is_open)
     while True:
-        tasks = -(-tasks // FAN_IN)
-        rest = rest.withColumn("_task", F.floor(F.col("_task") / FAN_IN).cast("int"))
-        last = tasks <= 1
-        rounded = rest.groupBy("source", "_task").applyInArrow(_joined([*names, "_task"], seed, last), rest.schema)
+        last = buckets <= 1
+        rest = cut(rest.groupBy("source", "_bucket").applyInArrow(_rounded(rows.columns, seed, last), rest.schema))
+        done = done.unionByName(rest if last else rest.where(~is_open))
         if last:
-            done = done.unionByName(rounded.drop("_task"))
             break
-        rounded = cut(rounded)
-        done = done.unionByName(rounded.where(~is_open).drop("_task"))
-        rest = rounded.where(is_open)
+        buckets = -(-buckets // FAN_IN)
+        rest = rest.where(is_open).withColumn("_bucket", F.floor(F.col("_bucket") / FAN_IN))
 
     used = done.select(ident, "source", "tokens", (F.col("_whole") + F.round("_p").cast("int")).alias("copies")).where(F.col("copies") > 0)
     reached = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"))
-    report = plan.drop("uses").join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
-    size = F.sum("reached").over(Window.partitionBy())
-    report = report.withColumn("share", F.when(size > 0, F.col("reached") / size).otherwise(F.lit(0.0)))
+    report = cut(plan.drop("uses", "_n").join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0))))
+    size = report.agg(F.sum("reached")).first()[0] or 0
+    report = report.withColumn("share", F.col("reached") / F.lit(size) if size else F.lit(0.0))
     # short: every record is used as often as allowed, and that is not enough
     full = F.col("available") * F.col("max_uses")
     return used, report.withColumn("short", (F.col("reached") >= full) & (full < F.col("wanted")))
 
 
-def _joined(names: list[str], seed: int, last: bool):
-    run = _round(names, seed, last)
-
-    def group(table: pa.Table) -> pa.Table:
-        table = table.select(names).sort_by([("tokens", "descending"), ("_draw", "ascending")]).combine_chunks()
-        return pa.Table.from_batches(list(run(table.to_batches())), schema=table.schema)
-
-    return group
-
-
 def sized_documents(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, source and tokens of each document, counted once and kept for the passes that follow."""
     return cut(token_sizes(documents, "text", ["doc_id", "source"], vocabulary=vocabulary))

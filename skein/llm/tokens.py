@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -57,8 +56,3 @@ def token_sizes(df: DataFrame, text: str, keep: list[str], size: str = "tokens",
 
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(size, T.LongType())])
     return df.select(*names, df[text].alias("_text")).mapInArrow(run, schema)
-
-
-def divided(sizes: pa.Array, capacity: int) -> pa.Array:
-    """How many containers each size needs at least."""
-    return pc.divide(pc.add(sizes, capacity - 1), capacity)

@@ -125,24 +125,28 @@ def test_pivot_keeps_mass():
     assert abs(drawn.mean() - 0.3) < 0.02 and drawn.min() > 0.15 and drawn.max() < 0.45
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     rng = random.Random(7)
     rows = [(i, rng.choice(["hot"] * 6 + ["b", "c", "other", None]), rng.randint(0, 300)) for i in range(3000)]
     targets = [("hot", 0.4, 1), ("b", 0.3, 5), ("c", 0.2, 2), ("empty", 0.1, 3)]
-    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long").repartition(6)
-    used, report = mixing.mix(sized, spark.createDataFrame(targets, "source string, target_share double, max_uses int"))
-    got = {r.source: r for r in report.collect()}
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    goals = spark.createDataFrame(targets, "source string, target_share double, max_uses int")
+    caps = {s: m for s, _, m in targets}
     size = {s: sum(n for _, x, n in rows if x == s) for s, _, _ in targets}
     total = sum(size.values())
-    for s, share, most in targets:
-        assert got[s].short == (most * size[s] < share * total)
-        goal = min(share * total, most * size[s])
-        assert abs(got[s].reached - goal) <= 300
-    caps = {s: m for s, _, m in targets}
-    assert all(0 < r.copies <= caps[r.source] for r in used.collect())
-    assert abs(sum(r.share for r in got.values()) - 1) < 1e-9
-    again = {tuple(r) for r in mixing.mix(sized, spark.createDataFrame(targets, "source string, target_share double, max_uses int"))[0].collect()}
-    assert len(again) > 0
+    for bucket, fan_in in ((50_000, 64), (100, 64), (20, 3)):
+        monkeypatch.setattr(mixing, "BUCKET", bucket)
+        monkeypatch.setattr(mixing, "FAN_IN", fan_in)
+        used, report = mixing.mix(sized.repartition(6), goals)
+        got = {r.source: r for r in report.collect()}
+        for s, share, most in targets:
+            assert got[s].short == (most * size[s] < share * total)
+            assert abs(got[s].reached - min(share * total, most * size[s])) <= 300
+        mixed = sorted(map(tuple, used.collect()))
+        assert all(0 < copies <= caps[source] for _, source, _, copies in mixed) and len({i for i, *_ in mixed}) == len(mixed)
+        assert abs(sum(r.share for r in got.values()) - 1) < 1e-9
+        for other in (sized.coalesce(1), sized.repartition(7, "tokens")):  # the same mix however the input is divided
+            assert sorted(map(tuple, mixing.mix(other, goals)[0].collect())) == mixed
 
 
 def test_mix_of_nothing(spark):
