@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.tokens import token_sizes
+from skein.session import cut
 
 CAPACITY = 4096
 #: Items that a worker packs together; bounds its memory (some 50 bytes an item). Each block leaves a few part-filled containers.
 BLOCK = 200_000
+#: Part-filled containers that each block hands on, and blocks or groups whose open containers are packed anew together.
+OPEN, FAN_IN = 16, 64
 
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +68,18 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return where, np.array(kinds, dtype=np.int32)
 
 
+def _placed(length: np.ndarray, capacity: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Container, its class and whether it is among the ``OPEN`` emptiest that have room, of each length; and the next number."""
+    where, kinds = pack_sizes(length, capacity)
+    room = capacity - np.bincount(where, weights=length, minlength=len(kinds))
+    emptiest = np.argsort(-room, kind="stable")[:OPEN]
+    is_open = np.zeros(len(kinds), dtype=bool)
+    is_open[emptiest[room[emptiest] > 0]] = True
+    return where + first, kinds[where] if len(kinds) else kinds, is_open[where] if len(kinds) else is_open, first + len(kinds)
+
+
 def _pack(capacity: int, ident: str):
-    names = [ident, "piece", "piece_tokens", "n_pieces", "container_id", "container_class"]
+    names = [ident, "piece", "piece_tokens", "n_pieces", "container_id", "container_class", "_open"]
 
     def flush(ids: list[pa.Array], sizes: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:
         keys, size = pa.concat_arrays(ids), np.concatenate(sizes)
@@ -74,9 +87,9 @@ def _pack(capacity: int, ident: str):
         row = np.repeat(np.arange(len(size)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.where(piece == pieces[row] - 1, size[row] - (pieces[row] - 1) * capacity, capacity)
-        where, kinds = pack_sizes(length, capacity)
-        cols = [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(length, pa.int64()), pa.array(pieces[row], pa.int32()), pa.array(where + first, pa.int64()), pa.array(kinds[where] if len(kinds) else [], pa.int32())]
-        return pa.RecordBatch.from_arrays(cols, names=names), first + len(kinds)
+        where, kinds, is_open, after = _placed(length, capacity, first)
+        cols = [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(length, pa.int64()), pa.array(pieces[row], pa.int32()), pa.array(where, pa.int64()), pa.array(kinds, pa.int32()), pa.array(is_open, pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=names), after
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -104,24 +117,54 @@ def _pack(capacity: int, ident: str):
     return run
 
 
-def pack(sized: DataFrame, ident: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(sized: DataFrame, ident: str, size: str, capacity: int = CAPACITY, refill: bool = True) -> DataFrame:
     """Containers for the items of ``sized``: ``ident``, piece, piece_tokens, n_pieces, container_id, container_class.
 
     Each task packs what it reads, in blocks: no shuffle at any size, and an item's source or group plays no part. An item
     above ``capacity`` is divided into full pieces and a rest, which are packed like items; no other is divided. Items
     of null or no size get no row. Equal rows are packed each by itself. Container numbers are unique; they depend on
     how the input is divided into partitions.
+
+    With ``refill`` the ``OPEN`` emptiest containers of each block are emptied and packed anew, those of ``FAN_IN`` tasks
+    together, and so on up a tree, so that many small tasks leave as little room as few large ones. Only their few items
+    are shuffled; the rest is written once, so ``sized`` is read at once.
     """
     schema = T.StructType([
         T.StructField(ident, sized.schema[ident].dataType), T.StructField("piece", T.IntegerType()), T.StructField("piece_tokens", T.LongType()),
-        T.StructField("n_pieces", T.IntegerType()), T.StructField("container_id", T.LongType()), T.StructField("container_class", T.IntegerType()),
+        T.StructField("n_pieces", T.IntegerType()), T.StructField("container_id", T.LongType()), T.StructField("container_class", T.IntegerType()), T.StructField("_open", T.BooleanType()),
     ])
-    return sized.select(F.col(ident), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).mapInArrow(_pack(capacity, ident), schema)
-
-
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    packed = sized.select(F.col(ident), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")).mapInArrow(_pack(capacity, ident), schema)
+    if not refill:
+        return packed.drop("_open")
+    packed = cut(packed)
+    done = packed.where(~F.col("_open"))
+    rest = packed.where("_open").withColumn("_group", F.shiftright("container_id", 40))
+    groups, level = packed.rdd.getNumPartitions(), 0
+    while True:
+        groups, level = -(-groups // FAN_IN), level + 1
+        again = rest.withColumn("_group", F.floor(F.col("_group") / FAN_IN))
+        rest = cut(again.groupBy("_group").applyInArrow(_repack(capacity, level), again.schema))
+        done = done.unionByName((rest if groups <= 1 else rest.where(~F.col("_open"))).drop("_group"))
+        if groups <= 1:
+            return done.drop("_open")
+        rest = rest.where("_open")
+
+
+def _repack(capacity: int, level: int):
+    def group(table: pa.Table) -> pa.Table:
+        first = (level << 56) + (table["_group"][0].as_py() << 40)
+        table = table.sort_by([("piece_tokens", "descending"), ("container_id", "ascending")])
+        where, kinds, is_open, _ = _placed(table["piece_tokens"].to_numpy(), capacity, first)
+        for name, col in (("container_id", pa.array(where, pa.int64())), ("container_class", pa.array(kinds, pa.int32())), ("_open", pa.array(is_open, pa.bool_()))):
+            table = table.set_column(table.column_names.index(name), name, col)
+        return table
+
+    return group
+
+
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, refill: bool = True) -> DataFrame:
     """The documents' texts in containers of ``capacity`` tokens; blank and null texts as :func:`pack` says of no size."""
-    return pack(token_sizes(documents, "text", ["doc_id"], vocabulary=vocabulary), "doc_id", "tokens", capacity)
+    return pack(token_sizes(documents, "text", ["doc_id"], vocabulary=vocabulary), "doc_id", "tokens", capacity, refill)
 
 
 def oversized(packed: DataFrame, ident: str = "doc_id") -> DataFrame:

@@ -101,6 +101,23 @@ def test_pack_divides_only_oversized(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens long"), "doc_id", "tokens").count() == 0
 
 
+def test_small_tasks_leave_little_room(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(i, max(1, int(rng.lognormvariate(6, 1.2)))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long")
+    size = sum(n for _, n in rows)
+    for tasks, fan_in, least in ((1, 64, 0.98), (64, 64, 0.97), (64, 4, 0.97)):
+        monkeypatch.setattr(packing, "FAN_IN", fan_in)
+        got = packing.pack(df.repartition(tasks), "doc_id", "tokens").collect()
+        full, pieces = {}, {}
+        for r in got:
+            full[r.container_id] = full.get(r.container_id, 0) + r.piece_tokens
+            pieces.setdefault(r.doc_id, []).append((r.piece, r.piece_tokens, r.n_pieces))
+        assert max(full.values()) <= 4096 and size / (4096 * len(full)) >= least
+        for i, n in rows:
+            assert [p for p, _, _ in sorted(pieces[i])] == list(range(-(-n // 4096))) and sum(t for _, t, _ in pieces[i]) == n
+
+
 def test_long_texts_count_as_whole_ones():
     from pathlib import Path
 
