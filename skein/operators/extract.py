@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +72,9 @@ def domain_phrases(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return computed(docs.select(ident, col(text).alias("_t")), _s=ascii_shape("_t")).select(ident, F.inline(_domain_array(F.col("_s"))))
 
 
-def _first_of_equal(items: Column, key) -> Column:
-    """An array without the elements whose key an earlier one has; ``items`` is evaluated once."""
-    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: key(y) == key(x)), kept).otherwise(F.concat(kept, F.array(x))))
+def _first_of_equal(items: Column, key, most: int) -> Column:
+    """The first ``most`` elements of those whose key no earlier one has; ``items`` is evaluated once, and each compared with ``most`` at most."""
+    return F.aggregate(items, F.slice(items, 1, 0), lambda kept, x: F.when((F.size(kept) >= most) | F.exists(kept, lambda y: key(y) == key(x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
 def with_mined(docs: DataFrame, text: str, most: int = 6) -> DataFrame:
@@ -86,7 +89,7 @@ def with_mined(docs: DataFrame, text: str, most: int = 6) -> DataFrame:
     verbs = F.transform("_v", lambda x: item(x["vord"] * 1000 + x["pos"], x["phrase"], 0.55, "fallback-pattern"))
     domain = F.transform("_d", lambda x: item(x["word_no"] + 100_000, x["phrase"], 0.50, "fallback-domain"))
     df = computed(df, _every=F.filter(F.concat(verbs, domain), lambda x: F.length(F.trim(x["text"])) > 8))
-    df = computed(df, _all=F.slice(_first_of_equal(F.col("_every"), lambda x: F.lower(F.trim(x["text"]))), 1, most))
+    df = computed(df, _all=_first_of_equal(F.col("_every"), lambda x: F.lower(F.trim(x["text"])), most))
     generic = F.array(*[item(F.lit(200_000 + i), F.lit(t), 0.3, "fallback-generic") for i, t in enumerate(GENERIC_ITEMS)])
     return df.withColumn("mined", F.when(F.size("_all") > 0, F.col("_all")).otherwise(generic)).drop("_s", "_v", "_d", "_every", "_all")
 
@@ -126,7 +129,7 @@ def topics(docs: DataFrame, ident: str, text: str, most: int = 8) -> DataFrame:
     """Capitalised runs, then words before topic nouns; of equal ones the first, ``most`` a document: ``ident``, ord, topic."""
     found = F.filter(_topic_array(col("_x")), lambda x: F.length(F.trim(x["topic"])) > 3)
     df = computed(docs.select(ident, col(text).alias("_x")), _t=found).drop("_x")
-    return df.select(ident, F.inline(F.slice(_first_of_equal(F.col("_t"), lambda x: F.lower(F.trim(x["topic"]))), 1, most)))
+    return df.select(ident, F.inline(_first_of_equal(F.col("_t"), lambda x: F.lower(F.trim(x["topic"])), most)))
 
 
 def with_heuristics(df: DataFrame, text: str) -> DataFrame:
@@ -135,7 +138,7 @@ def with_heuristics(df: DataFrame, text: str) -> DataFrame:
     fit = F.slice(F.filter("mined", lambda x: F.lower(F.split(x["text"], " ")[0]).isin(*ABILITY_VERBS)), 1, 2)
     ability = F.transform(fit, lambda x, i: item(i + 300_000, F.concat(F.lit("Ability to "), F.lower(F.left(x["text"], F.lit(1))), F.substring(x["text"], 2, 1 << 30)), "ability"))
     df = computed(df, _t=F.filter(_topic_array(col(text)), lambda x: F.length(F.trim(x["topic"])) > 3))
-    three = F.slice(_first_of_equal(F.col("_t"), lambda x: F.lower(F.trim(x["topic"]))), 1, 3)
+    three = _first_of_equal(F.col("_t"), lambda x: F.lower(F.trim(x["topic"])), 3)
     know = F.transform(three, lambda x, i: item(i + 400_000, F.concat(F.lit("Knowledge of "), x["topic"]), "knowledge"))
     return df.withColumn("more", F.concat(ability, know)).drop("_t")
 
@@ -202,25 +205,54 @@ def split_sections(docs: DataFrame, ident: str, text: str, codes: str = SECTION_
     return docs.where(t.isNotNull()).select(ident, F.posexplode(F.when(F.size(full) > 0, full).otherwise(plain))).select(ident, F.col("pos").alias("sec_no"), "col.*")
 
 
-def search_pages(pages: DataFrame, ident: str, text: str, query: str, width: int = 700) -> DataFrame:
-    """Pages that hold ``query`` in any case: ``ident``, n_matches, snippet."""
+def search_pages(pages: DataFrame, ident: str, text: str, query: str, width: int = 700, most: int | None = None) -> DataFrame:
+    """Pages that hold ``query`` in any case: ``ident``, n_matches, snippet; the first ``most`` of them in order of ``ident``.
+
+    A blank query finds nothing.
+    """
     rx = "(?i)" + literal_pattern(query)
-    return pages.where(F.contains(F.lower(text), F.lit(query.lower()))).select(ident, F.regexp_count(text, F.lit(rx)).alias("n_matches"), short(text, width).alias("snippet"))
+    found = pages.where(F.contains(F.lower(text), F.lit(query.lower())) & F.lit(bool(query.strip()))).select(ident, F.regexp_count(text, F.lit(rx)).alias("n_matches"), short(text, width).alias("snippet"))
+    return found.orderBy(ident).limit(most) if most is not None else found
+
+
+def search_pattern(query: str, code: bool = False) -> str:
+    """The pattern of a typed query: of a code, with whatever letters and digits follow it; else the query itself, a pattern if it has any of ``.*?+[]()``."""
+    if code:
+        return r"\b" + literal_pattern(query.strip().upper()) + r"[A-Z0-9]*\b"
+    return query if any(c in query for c in ".*?+[]()") else literal_pattern(query)
 
 
-def search_matches(docs: DataFrame, ident: str, text: str, pattern: str, width: int = 120) -> DataFrame:
-    """One row for each match of a pattern: ``ident``, match_no, char_start, hit, snippet with ``width`` / 2 on both sides.
+def search_matches(docs: DataFrame, ident: str, text: str, pattern: str, width: int = 120, most: int | None = None) -> DataFrame:
+    """One row for each match of a pattern in any case: ``ident``, match_no, char_start, hit, snippet with ``width`` / 2 on both sides.
 
-    Text between matches is found by splitting at them, and places by running lengths, so it stays in the JVM.
+    With ``most`` the first so many in order of ``ident`` and place. Matches are found in the JVM; their places are running
+    sums of lengths and their windows slices, one pass over each text that has a match.
     """
     t = col(text)
     hits = F.regexp_extract_all(t, F.lit(f"(?i){pattern}"), F.lit(0))
-    parts = F.split(t, f"(?i){pattern}", -1)
-    n = F.least(F.size(hits), F.size(parts) - 1)
-    place = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    rows = docs.where(t.rlike(f"(?i){pattern}")).select(ident, t.alias("_t"), F.posexplode(F.transform(F.slice(hits, F.lit(1), n), lambda h, i: F.struct(h.alias("hit"), place(i).alias("char_start")))))
-    begin = F.greatest(F.col("col.char_start") - width // 2, F.lit(0))
-    return rows.select(ident, F.col("pos").alias("match_no"), F.col("col.char_start").alias("char_start"), F.col("col.hit").alias("hit"), squeeze(F.substr("_t", begin + 1, F.col("col.char_start") - begin + F.length("col.hit") + width // 2)).alias("snippet"))
+    between = F.transform(F.split(t, f"(?i){pattern}", -1), lambda x: F.length(x))
+    rows = docs.where(t.rlike(f"(?i){pattern}")).select(ident, t.alias("_t"), hits.alias("_h"), between.alias("_b"))
+    half = width // 2
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, number, start, hit, around = [], [], [], [], []
+            for i, (body, found, gaps) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                at = 0
+                for k, (h, gap) in enumerate(zip(found, gaps, strict=False)):
+                    at += gap
+                    of.append(i)
+                    number.append(k)
+                    start.append(at)
+                    hit.append(h)
+                    around.append(body[max(0, at - half) : at + len(h) + half])
+                    at += len(h)
+            cols = [b.column(0).take(pa.array(of, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(hit, pa.string()), pa.array(around, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[ident, "match_no", "char_start", "hit", "snippet"])
+
+    kind = docs.schema[ident].dataType.simpleString()
+    got = rows.mapInArrow(run, f"{ident} {kind}, match_no int, char_start int, hit string, snippet string").withColumn("snippet", squeeze("snippet"))
+    return got.orderBy(ident, "char_start").limit(most) if most is not None else got
 
 
 def highlighted(c: Column | str, query: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import filled, strip
 from skein.operators.clean import canonical_item
+from skein.session import cut
 
 # Fixed values of the quality filter.
 BANNED = ("business intelligence", "perform cleaning duties", "source (digital game creation systems)", "operation of transport equipment", "develop defence policies")
@@ -49,6 +50,24 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with the place of each row in its group from 1, in ``order`` (which should end in a unique column).
+
+    Rows are sorted over ranges of (keys, order), so a group of any size lies in as many tasks as it needs; what is added to
+    the places within a task is one number a group and task. Null keys form a group.
+    """
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(runs, same).select(*df.columns, (F.col("_at") + F.col("_add")).alias(name))
+
+
 def min_confidence(df: DataFrame, least: float) -> DataFrame:
     """Items at ``least`` or more, null counting as 0; all of them if ``least`` isn't above 0."""
     return df.where(F.coalesce("confidence", F.lit(0.0)) >= least) if least > 0 else df

@@ -26,6 +26,8 @@ HINTS = {
 PROMPT_TEXT, REPLY_LINE, NEW_ITEMS, CONFIDENCE = 5000, 120, 6, 0.70
 STATEMENT = r"(?i)^\s*-\s*(Knowledge of|Ability to)\s.+$"
 TRAIL = r"\s*[.;:,!?]\s*$"
+#: Characters of the substrings by which texts that hold each other are found.
+GRAM, RARE = 4, "[jqxzkvwbyfgp0-9]"
 
 
 def stub(prompts: list[str]) -> list[str | None]:
@@ -117,12 +119,42 @@ def parsed(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.withColumns({"item_type": kind, "text": body}).where(F.col("item_type").isNotNull())
 
 
+def _parts(c: Column, n: Column) -> Column:
+    """Substrings of ``c`` of ``n`` characters, where it has so many."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def held_in(short: DataFrame, long: DataFrame, ident: str) -> DataFrame:
+    """All pairs (``ident``, s, l) of texts s of ``short`` (``ident``, s) and l of ``long`` (``ident``, l) of one ``ident`` where l holds s.
+
+    Each s asks with one substring of ``GRAM`` characters (all of it, if it is shorter), one with letters that are rare in
+    words, and each l answers with all of its own that anyone in its group asks with. Empty texts are held by none.
+    """
+    short = short.where(F.length("s") > 0).distinct()
+    sizes = [r[0] for r in short.select(F.least(F.length("s"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM at most
+    if not sizes:
+        return short.join(long, ident).limit(0)
+    rare = lambda g: F.length(F.regexp_replace(g, RARE, ""))
+    own = F.transform(_parts(F.col("s"), F.least(F.length("s"), F.lit(GRAM))), lambda g: F.struct(rare(g).alias("n"), F.xxhash64(g).alias("h"), g.alias("g")))
+    asks = short.select(ident, "s", F.array_min(own)["g"].alias("g"))
+    answers = long.where(F.length("l") > 0).distinct().select(ident, "l", F.explode(F.array_distinct(F.concat(*[_parts(F.col("l"), F.lit(n)) for n in sizes]))).alias("g"))
+    return asks.join(answers, [ident, "g"]).where(F.contains("l", F.col("s"))).select(ident, "s", "l")
+
+
 def new_only(lines: DataFrame, items: DataFrame, ident: str = "doc_code", line: str = "line") -> DataFrame:
-    """Lines that neither equal nor hold nor are held by an item of their document, as :func:`item_form` has both."""
-    a = lines.withColumn("_f", item_form(line))
-    b = items.select(F.col(ident).alias("_id"), item_form("text").alias("_e")).where(filled("_e").isNotNull()).distinct()
-    met = (F.col(ident) == F.col("_id")) & (F.contains("_f", F.col("_e")) | F.contains("_e", F.col("_f")))
-    return a.join(b, met, "left_anti").drop("_f")
+    """Lines that neither equal nor hold nor are held by an item of their document, as :func:`item_form` has both.
+
+    Pairs come from :func:`held_in` both ways, so a document costs its meeting pairs and not lines times items. A line
+    without any letter or digit is held by every item. Null lines and lines of a null document stay.
+    """
+    a = cut(lines.withColumn("_f", item_form(line)))
+    b = cut(items.select(F.col(ident), item_form("text").alias("_e")).where(filled("_e").isNotNull()).distinct())
+    f, e = a.select(ident, "_f").distinct(), b.select(ident, "_e")
+    holds = held_in(e.withColumnRenamed("_e", "s"), f.withColumnRenamed("_f", "l"), ident).select(ident, F.col("l").alias("_f"))
+    held = held_in(f.withColumnRenamed("_f", "s"), e.withColumnRenamed("_e", "l"), ident).select(ident, F.col("s").alias("_f"))
+    none = f.where(F.col("_f") == "").join(e, ident, "left_semi")
+    met = holds.unionByName(held).unionByName(none).distinct()
+    return a.join(met, [ident, "_f"], "left_anti").select(*lines.columns)
 
 
 def cache_key(prefix: str, code: Column, text: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.items import GENERIC_TERMS, has_id
+from skein.operators.items import GENERIC_TERMS, has_id, numbered
+from skein.session import cut
 
 # The steps of the threshold sweep, as floating-point arithmetic makes them.
 SWEEP = (0.3, 0.35, 0.39999999999999997, 0.44999999999999996, 0.49999999999999994, 0.5499999999999999, 0.5999999999999999, 0.6499999999999999, 0.6999999999999998, 0.7499999999999998, 0.7999999999999998)
@@ -27,14 +26,21 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column; exact percentiles, null and NaN left out."""
-    out = []
-    for c in columns:
-        v = F.when(~F.isnan(c), F.col(c))
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        row = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-        out.append(row.select(F.lit(c).alias("name"), "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max"))
-    return reduce(DataFrame.unionByName, out)
+    """count, mean, std, min, quartiles and max of each column; exact percentiles, null and NaN left out.
+
+    One scan; quartiles are read off at their places in a range-partitioned sort, so no task holds all values.
+    """
+    each = F.filter(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns]), lambda x: x["v"].isNotNull() & ~F.isnan(x["v"]))
+    placed = cut(numbered(df.select(F.inline(each)), ["name"], [F.col("v")]))
+    sums = placed.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    quarter = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * q).alias("at")) for i, q in enumerate((0.25, 0.5, 0.75))]))
+    wanted = sums.select("name", quarter.alias("q")).select("name", "q.i", "q.at", F.explode(F.array_distinct(F.array(F.floor("q.at"), F.ceil("q.at")))).alias("k"))
+    met = placed.select("name", (F.col("place") - 1).alias("k"), "v").join(wanted, ["name", "k"])  # six rows a column at most
+    weight = F.when(F.floor("at") == F.ceil("at"), F.lit(1.0)).when(F.col("k") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    q = met.groupBy("name").agg(*[F.sum(F.when(F.col("i") == i, weight * F.col("v"))).alias(f"q{p}") for i, p in enumerate((25, 50, 75))])
+    out = names.join(sums, "name", "left").join(q, "name", "left")
+    return out.select("name", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def sweep(df: DataFrame, column: str) -> DataFrame:

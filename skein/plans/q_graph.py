@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from skein.operators import items as I
 from skein.plans import pipeline
 from skein.plans import sql as S
 from skein.sources import readers, sinks
+from skein.session import shared_folder
 from skein.sources.tables import table
 
 QUERIES = {}
@@ -192,13 +193,8 @@ def g13_a16_own_nodes(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder beside the checkpoints; a temporary one where the session names none."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="skein-")
-        sc.setCheckpointDir(base)
-    return f"{base}/skein-{sc._jvm.java.util.UUID.randomUUID()}"
+    """A fresh folder beside the checkpoints."""
+    return f"{shared_folder(spark)}/skein-{uuid.uuid4()}"
 
 
 @query("SELECT candidate_id, text_norm, evidence FROM ksa_candidates_v0_raw")

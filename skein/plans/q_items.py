@@ -285,10 +285,8 @@ def a22_evidence_coverage(spark, d):
 
 @query(S.with_items("SELECT ord, CAST(row_number() OVER (PARTITION BY doc_code ORDER BY item_type, confidence DESC NULLS LAST, text, ord) AS INTEGER) AS place FROM items"))
 def o01_sorted(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_code").orderBy("item_type", F.col("confidence").desc_nulls_last(), "text", "ord")
-    return _items(spark, d).select("ord", F.row_number().over(w).alias("place"))
+    order = [F.col("item_type"), F.col("confidence").desc_nulls_last(), F.col("text"), F.col("ord")]
+    return I.numbered(_items(spark, d).select("doc_code", "ord", "item_type", "confidence", "text"), ["doc_code"], order).select("ord", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT afsc_code AS code, name AS text, NULL AS label FROM ksa_item UNION ALL SELECT afsc, text_norm, label FROM ksa_candidates_v0_raw")
@@ -479,7 +477,7 @@ def v02_cosine(spark, d):
     """Each vector against the mean of its label."""
     e = table(spark, d, "embeddings")
     mean = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("x")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("m"))
-    return e.join(F.broadcast(mean.select("label", F.col("m.x").alias("m"))), "label").select("vec_id", A.cosine(F.col("embedding"), F.col("m")).alias("cos"))
+    return e.join(mean.select("label", F.col("m.x").alias("m")), "label").select("vec_id", A.cosine(F.col("embedding"), F.col("m")).alias("cos"))
 
 
 @query()

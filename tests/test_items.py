@@ -1,4 +1,5 @@
 import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -144,6 +145,35 @@ def test_without_reply_mined_items_and_heuristics_stand_in(spark):
     assert out == know | {("a", "ability", f"Ability to {t}", 0.55) for t in ("analyze signals", "assess maps")}
 
 
+def test_lines_that_hold_or_are_held_against_all_pairs(spark):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("ab c") for _ in range(rng.randint(0, 9)))
+    lines = [(rng.choice(["d", "e", None]), i, rng.choice([text(), text(), "???", None])) for i in range(150)]
+    have = [(rng.choice(["d", "e", "f", None]), i, rng.choice([text(), "..", None]), "skill", 0.5, None) for i in range(25)]
+    form = lambda t: " ".join(t.lower().split(" ")) if t is not None else None
+    squeezed = lambda t: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", form(t).strip()))
+    items = {d: {squeezed(t) for x, _, t, *_ in have if x == d and t and squeezed(t)} for d in "def"}
+    want = {i for d, i, t in lines if not (d and t is not None and any(e in squeezed(t) or squeezed(t) in e for e in items[d]))}
+    got = P.new_only(spark.createDataFrame(lines, "doc_code string, i long, line string"), frame(spark, have)).collect()
+    assert {r.i for r in got} == want and len(got) == len(want)
+
+
+def test_places_in_groups_and_description(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([1.0, 2.0, 3.5, None, float("nan")])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(5)
+    got = {(r.g, r.i): r.place for r in I.numbered(df, ["g"], [F.col("i").desc()]).collect()}
+    want = {(g, i): 1 + sum(1 for h, j, _ in rows if h == g and j > i) for g, i, _ in rows}
+    assert got == want
+    vs = sorted(v for _, _, v in rows if v is not None and v == v)
+    out = {r.name: r for r in A.described(df.withColumn("w", F.lit(None).cast("double")), ["v", "w"]).collect()}
+    assert (out["v"].n, out["v"].min, out["v"].max, out["w"].n, out["w"].q50) == (len(vs), 1.0, 3.5, 0, None)
+    for q, x in ((0.25, out["v"].q25), (0.5, out["v"].q50), (0.75, out["v"].q75)):
+        at = q * (len(vs) - 1)
+        lo, hi = vs[int(at)], vs[min(len(vs) - 1, int(at) + 1)]
+        assert abs(x - (lo + (hi - lo) * (at - int(at)))) < 1e-9
+
+
 def test_sample_is_stable_and_capped(spark):
     df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(60)], "s string, i long")
     one = sorted(map(tuple, A.hash_sample(df, "s", F.col("i"), 7).collect()))
