@@ -20,12 +20,12 @@ GENERIC = (r"\bpolicies and procedures\b", r"\bregulations\b", r"\bstandards\b",
 GENERIC_TERMS = ("policies and procedures", "applicable regulations", "safety practices", "standard procedures")
 
 
-def items_of(rels: DataFrame) -> DataFrame:
-    """Items from the requirement table: doc_code, ord, text, item_type, confidence, source, esco_id, evidence."""
+def items_of(rels: DataFrame, *more: str) -> DataFrame:
+    """Items from the requirement table: doc_code, ord, text, item_type, confidence, source, esco_id, evidence, and columns ``more``."""
     conf = F.when(~F.isnan("confidence"), F.col("confidence"))
     return rels.where(F.col("afsc_code").isNotNull() & F.col("item_name").isNotNull() & F.col("item_type").isNotNull()).select(
         F.upper(strip("afsc_code")).alias("doc_code"), F.col("rel_id").alias("ord"), F.col("item_name").alias("text"), F.lower(strip("item_type")).alias("item_type"),
-        conf.alias("confidence"), F.when(has_id("esco_id"), F.lit("extractor-a")).otherwise(F.lit("llm-b")).alias("source"), "esco_id", "evidence",
+        conf.alias("confidence"), F.when(has_id("esco_id"), F.lit("extractor-a")).otherwise(F.lit("llm-b")).alias("source"), "esco_id", "evidence", *more,
     )
 
 
@@ -73,16 +73,16 @@ def min_confidence(df: DataFrame, least: float) -> DataFrame:
     return df.where(F.coalesce("confidence", F.lit(0.0)) >= least) if least > 0 else df
 
 
-def quality_filter(df: DataFrame, strict: bool = False, domain_bias: bool = False) -> DataFrame:
+def quality_filter(df: DataFrame, strict: bool = False, domain_bias: bool = False, lengths: tuple[int, int, int] = (MIN_LEN, MAX_LEN_SKILL, MAX_LEN_OTHER), low_confidence: float = LOW_CONFIDENCE) -> DataFrame:
     """Items whose canonical text has a sound length and isn't banned, once each of a document and type, first wins.
 
     ``domain_bias`` wants a domain word, ``strict`` an id, of skills of low confidence. Duplicates go last, so an item
-    that is dropped never hides a later one.
+    that is dropped never hides a later one. ``lengths`` are the least, and the most of skills and of others.
     """
     text, skill = F.col("text"), F.col("item_type") == "skill"
     kept = df.where(filled("text").isNotNull()).withColumn("text", canonical_item("text"))
-    kept = kept.where((F.length(text) >= MIN_LEN) & (F.length(text) <= F.when(skill, MAX_LEN_SKILL).otherwise(MAX_LEN_OTHER)) & ~text.isin(*BANNED))
-    low = skill & (F.coalesce("confidence", F.lit(0.0)) < LOW_CONFIDENCE)
+    kept = kept.where((F.length(text) >= lengths[0]) & (F.length(text) <= F.when(skill, lengths[1]).otherwise(lengths[2])) & ~text.isin(*BANNED))
+    low = skill & (F.coalesce("confidence", F.lit(0.0)) < low_confidence)
     if domain_bias:
         kept = kept.where(~low | text.rlike(f"(?i){HINT}"))
     if strict:

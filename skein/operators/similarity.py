@@ -130,13 +130,13 @@ def greedy_clusters(items: DataFrame, threshold: float = SAME, shortest: int = S
     return out.unionByName(ranked.where(~long).join(opened, ["g", "text"]).select("doc_code", "item_type", "ord", "text", "esco_id", F.col("_own").alias("leader_ord")))
 
 
-def canonical_items(items: DataFrame, threshold: float = SAME) -> DataFrame:
+def canonical_items(items: DataFrame, threshold: float = SAME, shortest: int = SHORTEST) -> DataFrame:
     """Of each cluster the leader, with the first id of its members where it has none, and the cluster's size."""
     ids = F.min_by(F.when(has_id("esco_id"), F.col("esco_id")), F.when(has_id("esco_id"), F.col("ord")))
-    return greedy_clusters(items, threshold).groupBy("doc_code", "item_type", "leader_ord").agg(F.max(F.when(F.col("ord") == F.col("leader_ord"), F.col("text"))).alias("text"), ids.alias("esco_id"), F.count(F.lit(1)).alias("n_members"))
+    return greedy_clusters(items, threshold, shortest).groupBy("doc_code", "item_type", "leader_ord").agg(F.max(F.when(F.col("ord") == F.col("leader_ord"), F.col("text"))).alias("text"), ids.alias("esco_id"), F.count(F.lit(1)).alias("n_members"))
 
 
-def align(items: DataFrame, catalog: DataFrame, alts: int = 8) -> DataFrame:
+def align(items: DataFrame, catalog: DataFrame, alts: int = 8, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """The best entry of ``catalog`` (esco_id, label, alt_labels) for each item: ord, esco_id, score.
 
     Labels count before alternatives, entries in order of id; the first best wins, if it reaches its type's threshold.
@@ -147,8 +147,8 @@ def align(items: DataFrame, catalog: DataFrame, alts: int = 8) -> DataFrame:
     cand = catalog.where(has_id("esco_id") & filled("label").isNotNull()).select("esco_id", F.posexplode(F.concat(F.array("label"), alt)).alias("alt_no", "cand"))
     cand = cand.select("esco_id", "alt_no", match_form("cand").alias("cand")).where(F.col("cand") != "")
     query = items.select(F.col("item_type"), match_form(without_prefix("text", "item_type")).alias("q")).where(F.length("q") >= 3).distinct()
-    need = F.coalesce(*[F.when(F.col("item_type") == k, F.lit(v)) for k, v in THRESHOLDS.items()], F.lit(0.90))
-    lowest = least_jaccard(min(THRESHOLDS.values()))
+    need = F.coalesce(*[F.when(F.col("item_type") == k, F.lit(v)) for k, v in thresholds.items()], F.lit(0.90))
+    lowest = least_jaccard(min(0.90, *thresholds.values()))
     sets = lambda df, c, ident: df.select(F.col(c).alias(ident)).distinct().select(ident, tokens(ident).alias("tokens"))
     near = similarity_join(sets(query, "q", "lid"), sets(cand, "cand", "rid"), lowest).select(F.col("lid").alias("q"), F.col("rid").alias("cand"), F.col("jaccard").alias("j"))
     pairs = near.withColumn("ratio", char_ratio("q", "cand")).join(query, "q").join(cand, "cand")

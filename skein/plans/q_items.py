@@ -14,7 +14,8 @@ from skein.operators import similarity as M
 from skein.operators import stats as A
 from skein.operators.clean import clean_text
 from skein.plans import sql as S
-from skein.plans.q_text import CANON_MAP, _canon, _form
+from skein.plans.q_text import CANON_MAP, HEURISTIC_SQL, MINED_SQL, _canon, _form, of_cleaned, stub_sql
+from skein.sources import readers
 from skein.sources.tables import table
 
 QUERIES = {}
@@ -351,27 +352,75 @@ def m01_jaccard(spark, d):
     return p.select("validation_id", M.jaccard("a", "b").alias("j"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT validation_id, {S.match_form('text')} AS a, {S.match_form('esco_export')} AS b FROM laiser_similarity_validation), {S.ratios('p')}
+    SELECT validation_id, ratio, 0.6 * ({S.jaccard('a', 'b')}) + 0.4 * ratio AS hybrid FROM p JOIN ratios USING (a, b)""")
 def m02_m03_hybrid(spark, d):
     p = _checks(spark, d).select("validation_id", match_form("text").alias("a"), match_form("esco_export").alias("b"))
     return p.select("validation_id", M.char_ratio("a", "b").alias("ratio"), M.hybrid("a", "b").alias("hybrid"))
 
 
-@query()
+#: Near duplicates of the items ``once`` (k = 1): the pairs of one group that are like each other, and each group's leaders in order.
+CLUSTER_SQL = f"""it AS (SELECT *, coalesce(doc_code, '') || chr(1) || coalesce(item_type, '') AS g, {S.match_form('text')} AS form,
+      row_number() OVER (PARTITION BY doc_code, item_type ORDER BY (trim(coalesce(esco_id, '')) <> '') DESC, coalesce(confidence, 0) DESC, length(text) DESC, ord) AS place FROM once WHERE k = 1),
+    word AS (SELECT g, place, text, form, {S.words('form')} AS ws FROM it), each_word AS (SELECT g, place, unnest(ws) AS w FROM word),
+    met AS (SELECT x.g, x.place AS u, y.place AS v, count(*) AS n FROM each_word x JOIN each_word y ON x.g = y.g AND x.w = y.w AND x.place < y.place GROUP BY 1, 2, 3
+      UNION ALL SELECT x.g, x.place, y.place, 0 FROM word x JOIN word y ON x.g = y.g AND len(x.ws) = 0 AND len(y.ws) = 0 AND x.place < y.place),
+    near AS (SELECT m.g, u, v, y.form AS a, x.form AS b, CASE WHEN len(x.ws) = 0 THEN 1.0 ELSE n / (len(x.ws) + len(y.ws) - n) END AS j FROM met m JOIN word x ON x.g = m.g AND x.place = u JOIN word y ON y.g = m.g AND y.place = v
+      WHERE length(y.text) >= 4 AND (len(x.ws) = 0 OR n / (len(x.ws) + len(y.ws) - n) >= {M.least_jaccard(M.SAME)} - 1e-9)),
+    {S.ratios('near')},
+    liked AS (SELECT g, v, list(u ORDER BY u) AS us FROM near JOIN ratios USING (a, b) WHERE 0.6 * j + 0.4 * ratio >= {M.SAME} GROUP BY 1, 2),
+    todo AS (SELECT g, v, us, row_number() OVER (PARTITION BY g ORDER BY v) AS step FROM liked),
+    walk AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS members, CAST(NULL AS BIGINT) AS v, CAST(NULL AS BIGINT) AS led FROM todo
+      UNION ALL SELECT g, step, CASE WHEN led IS NULL THEN members ELSE list_append(members, v) END, v, led FROM
+        (SELECT w.g, t.step, w.members, t.v, list_filter(t.us, lambda u: NOT list_contains(w.members, u))[1] AS led FROM walk w JOIN todo t ON t.g = w.g AND t.step = w.step + 1)),
+    joined AS (SELECT it.*, l.ord AS leader_ord FROM it LEFT JOIN (SELECT g, v, led FROM walk WHERE led IS NOT NULL) j ON j.g = it.g AND j.v = it.place JOIN it l ON l.g = it.g AND l.place = coalesce(j.led, it.place))"""
+_LIFTED = "(arg_min(struct_pack(v := esco_id), ord) FILTER (trim(coalesce(esco_id, '')) <> '')).v"
+
+
+@query(_quality(False, False).replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT doc_code, ord", 1)[0].rstrip() + f""",
+    {CLUSTER_SQL} SELECT doc_code, item_type, leader_ord, max(CASE WHEN ord = leader_ord THEN text END) AS text, {_LIFTED} AS esco_id, count(*) AS n_members FROM joined GROUP BY 1, 2, 3""")
 def m04_m06_canonical_items(spark, d):
     return M.canonical_items(I.quality_filter(_items(spark, d)))
 
 
+_MINED_ITEMS = f"""names AS (SELECT afsc_doc_id, concat_ws('-', code, CAST(afsc_doc_id AS VARCHAR)) AS doc_code FROM afsc_doc),
+    every_item AS (SELECT afsc_doc_id, ord, text, confidence, source, 'skill' AS item_type FROM mined
+      UNION ALL SELECT afsc_doc_id, 300000 + n, 'Ability to ' || lower(left(text, 1)) || substr(text, 2), 0.55, 'llm-heuristic', 'ability' FROM fit WHERE n <= 2
+      UNION ALL SELECT afsc_doc_id, 400000 + n, 'Knowledge of ' || topic, 0.55, 'llm-heuristic', 'knowledge' FROM topics WHERE n <= 3),
+    items AS (SELECT doc_code, ord, text, item_type, confidence, source, CAST(NULL AS VARCHAR) AS esco_id FROM every_item JOIN names USING (afsc_doc_id))"""
+#: Summary rows of the pipeline over all documents.
+PIPELINE_SQL = f"""WITH RECURSIVE {of_cleaned(HEURISTIC_SQL)}, {_MINED_ITEMS}, {_quality(False, False).split(', canon AS', 1)[1].join(['canon AS', '']).rsplit('SELECT doc_code, ord', 1)[0].rstrip()}, {CLUSTER_SQL},
+    final AS (SELECT * FROM joined WHERE ord = leader_ord), n_raw AS (SELECT doc_code, count(*) AS n FROM mined JOIN names USING (afsc_doc_id) GROUP BY 1),
+    n_good AS (SELECT doc_code, count(*) AS n FROM it GROUP BY 1),
+    n_kept AS (SELECT doc_code, count(*) AS n, count(*) FILTER (item_type = 'knowledge') AS k, count(*) FILTER (item_type = 'skill') AS s, count(*) FILTER (item_type = 'ability') AS a FROM final GROUP BY 1)
+    SELECT doc_code, CASE WHEN n_good.n IS NULL THEN 0 ELSE n_raw.n END AS n_items_raw, coalesce(n_good.n, 0) AS n_items_after_filters, coalesce(n_kept.n, 0) AS n_items_after_dedupe, coalesce(k, 0) AS knowledge, coalesce(s, 0) AS skills, coalesce(a, 0) AS abilities, 0 AS aligned
+    FROM names LEFT JOIN n_raw USING (doc_code) LEFT JOIN n_good USING (doc_code) LEFT JOIN n_kept USING (doc_code)"""
+
+
 def _ksa(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ksa_item").where(F.col("name").isNotNull()).select(F.col("item_id").alias("ord"), F.col("name").alias("text"), F.col("type").alias("item_type"), "esco_id")
 
 
-@query()
+_NEED = "CASE item_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in M.THRESHOLDS.items()) + " ELSE 0.90 END"
+_BARE = r"CASE type WHEN 'knowledge' THEN regexp_replace(name, '(?i)^\s*knowledge of\s+', '') WHEN 'ability' THEN regexp_replace(name, '(?i)^\s*ability to\s+', '') ELSE name END"
+ALIGN_SQL = f"""i AS (SELECT item_id AS ord, type AS item_type, {S.match_form(_BARE)} AS a FROM ksa_item WHERE name IS NOT NULL AND trim(coalesce(esco_id, '')) = ''),
+    q AS (SELECT DISTINCT a FROM i WHERE length(a) >= 3),
+    alts AS (SELECT esco_id, label, list_filter(list_transform(string_split(coalesce(alt_labels, ''), ';'), lambda x: trim(x)), lambda x: x <> '')[1:8] AS alts FROM esco_catalog WHERE trim(coalesce(esco_id, '')) <> '' AND coalesce(label, '') <> ''),
+    raw AS (SELECT esco_id, unnest(list_prepend(label, alts)) AS c, generate_subscripts(list_prepend(label, alts), 1) - 1 AS alt_no FROM alts),
+    c AS (SELECT esco_id, alt_no, {S.match_form('c')} AS b FROM raw),
+    qw AS (SELECT a, unnest({S.words('a')}) AS w FROM q), cw AS (SELECT b, unnest({S.words('b')}) AS w FROM (SELECT DISTINCT b FROM c WHERE b <> '')),
+    close AS (SELECT a, b, {S.jaccard('a', 'b')} AS j FROM (SELECT DISTINCT a, b FROM qw JOIN cw USING (w)) WHERE {S.jaccard('a', 'b')} >= {M.least_jaccard(0.90)} - 1e-9),
+    {S.ratios('close')},
+    scored AS (SELECT ord, esco_id, alt_no, 0.6 * j + 0.4 * ratio AS score FROM i JOIN close USING (a) JOIN ratios USING (a, b) JOIN c USING (b) WHERE 0.6 * j + 0.4 * ratio >= {_NEED}),
+    best AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, alt_no, esco_id) AS k FROM scored)"""
+
+
+@query(f"WITH RECURSIVE {ALIGN_SQL} SELECT ord, esco_id, score FROM best WHERE k = 1")
 def m07_alignment(spark, d):
     return M.align(_ksa(spark, d).where(~I.has_id("esco_id")), table(spark, d, "esco_catalog"))
 
 
-@query()
+@query(f"WITH RECURSIVE {ALIGN_SQL} SELECT item_id AS ord, coalesce(nullif(k.esco_id, ''), b.esco_id) AS esco_id FROM ksa_item k LEFT JOIN (SELECT ord, esco_id FROM best WHERE k = 1) b ON b.ord = k.item_id WHERE name IS NOT NULL")
 def m08_mapped_ids(spark, d):
     i = _ksa(spark, d)
     best = M.align(i.where(~I.has_id("esco_id")), table(spark, d, "esco_catalog")).withColumnRenamed("esco_id", "found")
@@ -419,9 +468,25 @@ def l09_balance_hint(spark, d):
     return _items(spark, d).groupBy("doc_code").agg(P.balance_hint(n("knowledge"), n("ability")).alias("hint"))
 
 
-@query("SELECT code, '[INST] ' || trim(code) || ' [/INST]' AS prompt FROM nodes_afsc")
+MODELS = ("Mistral-7B", "zephyr-beta", " Meta-LLAMA-3", "phi-2")
+_TEMPLATE_SQL = " ".join(f"WHEN {i} THEN '{b}' || trim(code) || '{a}'" for i, (b, a) in enumerate(P.TEMPLATES[m] for m in ("mistral", "zephyr", "llama"))).replace("\n", "' || chr(10) || '")
+
+
+@query(f"SELECT code, CASE length(code) % 4 {_TEMPLATE_SQL} ELSE trim(code) END AS prompt FROM nodes_afsc")
 def l08_chat_template(spark, d):
-    return table(spark, d, "nodes_afsc").select("code", P.chat_template(F.lit("Mistral-7B"), F.col("code")).alias("prompt"))
+    """Prompts for a model of each family in turn."""
+    model = F.element_at(F.array(*map(F.lit, MODELS)), (F.length("code") % 4 + 1).cast("int"))
+    return table(spark, d, "nodes_afsc").select("code", P.chat_template(model, F.col("code")).alias("prompt"))
+
+
+@query(S.with_items(f"""SELECT doc_code, 'Text:' || chr(10) || left({S.strip("coalesce(t.text, '')")}, 5000) || chr(10) || chr(10) || 'Known items:' || chr(10) || coalesce(e.l, '- (none)') || chr(10) || chr(10) || '{P.HINTS["even"]}' AS prompt
+    FROM (SELECT code AS doc_code, arg_max(struct_pack(v := coalesce(clean_text, raw_text)), struct_pack(a := loaded_at, b := afsc_doc_id)).v AS text FROM afsc_doc GROUP BY 1) t
+    LEFT JOIN (SELECT doc_code, string_agg('- [' || upper(left(item_type, 1)) || substr(item_type, 2) || '] ' || text, chr(10) ORDER BY ord) AS l FROM items GROUP BY 1) e USING (doc_code)"""))
+def l10_prompts(spark, d):
+    """Prompts of all documents with everything that is known of them."""
+    text = table(spark, d, "afsc_doc").groupBy(F.col("code").alias("doc_code")).agg(F.max_by(F.coalesce("clean_text", "raw_text"), F.struct("loaded_at", "afsc_doc_id")).alias("text"))
+    known = text.join(P.existing_block(_items(spark, d)), "doc_code", "left")
+    return known.select("doc_code", P.prompt_of(F.coalesce("text", F.lit("")), F.col("existing"), F.lit(P.HINTS["even"])).alias("prompt"))
 
 
 @query("SELECT afsc_doc_id, 'k_' || code || '_' || left(md5(left(raw_text, 500)), 8) AS key FROM afsc_doc WHERE raw_text IS NOT NULL AND code IS NOT NULL")
@@ -429,20 +494,35 @@ def l15_cache_key(spark, d):
     return table(spark, d, "afsc_doc").where(F.col("raw_text").isNotNull() & F.col("code").isNotNull()).select("afsc_doc_id", P.cache_key("k", F.col("code"), F.col("raw_text")).alias("key"))
 
 
-@query()
+_GOOD = _quality(False, False).rsplit("SELECT doc_code, ord", 1)[0].rstrip()
+_KIND = "count(*) FILTER (item_type = '{}')"
+
+
+@query(rf"""{_GOOD}, good AS (SELECT * FROM once WHERE k = 1),
+    txt AS (SELECT code AS doc_code, arg_max(struct_pack(v := coalesce(clean_text, raw_text)), struct_pack(a := loaded_at, b := afsc_doc_id)).v AS text FROM afsc_doc GROUP BY 1),
+    have AS (SELECT doc_code, string_agg('- [' || upper(left(item_type, 1)) || substr(item_type, 2) || '] ' || text, chr(10) ORDER BY ord) AS l, {_KIND.format('knowledge')} AS k, {_KIND.format('ability')} AS a FROM good GROUP BY 1),
+    asked AS (SELECT doc_code, 'Text:' || chr(10) || left({S.strip("coalesce(t.text, '')")}, 5000) || chr(10) || chr(10) || 'Known items:' || chr(10) || coalesce(l, '- (none)') || chr(10) || chr(10) || coalesce({HINT_SQL}, '{P.HINTS["none"]}') AS p FROM txt t LEFT JOIN have USING (doc_code)),
+    line AS (SELECT doc_code, unnest(string_split({stub_sql('p')}, chr(10))) AS name FROM asked), form AS (SELECT doc_code, name, {_form} AS f FROM line),
+    e AS (SELECT DISTINCT doc_code, {_form.replace('name', 'text')} AS e FROM good)
+    SELECT doc_code, CASE WHEN starts_with(name, '- K') THEN 'knowledge' ELSE 'ability' END AS item_type, substr(name, 3) AS text, 0.7::DOUBLE AS confidence, 'llm-openai' AS source FROM form
+    WHERE length(name) - 2 <= 120 AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_code = form.doc_code AND e.e <> '' AND (contains(f, e.e) OR contains(e.e, f)))""")
 def l01_l14_enhanced(spark, d):
     """Prompts of all documents with items, put to the stub, its replies read and held against what is there; heuristics where it gives none."""
     text = table(spark, d, "afsc_doc").groupBy(F.col("code").alias("doc_code")).agg(F.max_by(F.coalesce("clean_text", "raw_text"), F.struct("loaded_at", "afsc_doc_id")).alias("text"))
     return P.enhanced(text, I.quality_filter(_items(spark, d)), {"openai": P.stub}, "openai")
 
 
-@query(S.with_items("""SELECT doc_code, 'Inferred from skills: ' || string_agg(text, ', ' ORDER BY k) AS evidence, list(text ORDER BY k)[1] AS first_parent FROM
-    (SELECT *, row_number() OVER (PARTITION BY doc_code ORDER BY confidence DESC NULLS LAST, ord) AS k FROM items WHERE item_type = 'skill') WHERE k <= 5 GROUP BY 1"""))
-def x14_inferred_lineage(spark, d):
-    """What an inferred statement is said to come from: the five surest skills of its document."""
-    skills = _items(spark, d).where(F.col("item_type") == "skill").select("doc_code", "ord", "text", "confidence")
-    five = I.top_rows(skills, ["doc_code"], [F.col("confidence").desc_nulls_last(), F.col("ord")], 5).groupBy("doc_code").agg(F.array_sort(F.collect_list(F.struct("rank_no", "text"))).alias("x"))
-    return five.select("doc_code", F.concat(F.lit("Inferred from skills: "), F.array_join("x.text", ", ")).alias("evidence"), F.col("x.text")[0].alias("first_parent"))
+@query(S.with_items(r"""SELECT doc_code, trim(trim(l, ' -•*')) AS text, 'knowledge' AS item_type, 0.45::DOUBLE AS confidence, 'skill_inferred' AS source, 'Inferred from skills: ' || array_to_string(parents[1:2], ', ') AS evidence, array_to_string(parents, '|') AS parents
+  FROM (SELECT doc_code, parents, unnest(['- Knowledge of ' || w[1] || ' ' || w[2], '- Ability to ' || w[3] || ' ' || w[4]]) AS l FROM
+    (SELECT doc_code, parents, list_filter(regexp_split_to_array('skills: ' || lower(array_to_string(parents, ' - ')), '[\s\x{85}\p{Z}]+'), lambda x: regexp_full_match(x, '\p{L}+') AND length(x) > 3)[1:4] AS w FROM
+      (SELECT doc_code, list(text ORDER BY k) AS parents FROM (SELECT *, row_number() OVER (PARTITION BY doc_code ORDER BY coalesce(confidence, 0) DESC, ord) AS k FROM items WHERE item_type = 'skill') WHERE k <= 5 GROUP BY 1)
+     WHERE doc_code NOT IN (SELECT doc_code FROM items WHERE item_type = 'knowledge' GROUP BY 1 HAVING count(*) >= 2)) WHERE len(w) = 4)
+  WHERE NOT contains(upper(array_to_string(parents, ' ')), 'NONE') AND length(trim(trim(l, ' -•*'))) > 5 AND length(trim(trim(l, ' -•*'))) < 100"""))
+def x14_inferred_items(spark, d):
+    """Knowledge inferred by the stub for documents with skills and fewer than two knowledge items."""
+    i = _items(spark, d)
+    got = P.inferred(i, i.where(F.col("item_type") == "knowledge"), {"openai": P.stub}, "openai")
+    return got.withColumn("parents", F.array_join("parents", "|"))
 
 
 @query(r"""SELECT candidate_id, t AS text FROM (SELECT candidate_id, trim(l, ' -•*') AS t FROM (SELECT candidate_id, unnest(string_split(text_norm, chr(10))) AS l FROM ksa_candidates_v0_raw)) WHERE length(t) > 5 AND length(t) < 100 AND NOT contains(t, 'NONE')""")
@@ -452,7 +532,9 @@ def x13_model_lines(spark, d):
     return c.where((F.length("text") > 5) & (F.length("text") < 100) & ~F.col("text").contains("NONE"))
 
 
-@query()
+@query(f"""WITH {of_cleaned(MINED_SQL)}, m AS (SELECT afsc_doc_id, string_agg(text, chr(10) ORDER BY ord) AS mined, arg_min(source, ord) AS source FROM mined GROUP BY 1),
+    r AS (SELECT afsc_doc_id, {stub_sql('text')} AS reply FROM docs)
+    SELECT afsc_doc_id, 'x_' || coalesce(code, '') || '_' || md5(raw_text) AS key, coalesce(reply, mined) AS reply, CASE WHEN reply IS NULL THEN source ELSE 'provider' END AS source FROM afsc_doc JOIN r USING (afsc_doc_id) JOIN m USING (afsc_doc_id) WHERE raw_text IS NOT NULL""")
 def x06_s12_provider_with_cache(spark, d):
     """Every document's whole cleaned text put to a provider, whose replies go to a cache that the second call finds full.
 
@@ -468,9 +550,64 @@ def x06_s12_provider_with_cache(spark, d):
     return P.or_mined(replies, "prompt").select("afsc_doc_id", "key", "reply", "source")
 
 
+EXTRACTED_SQL = r"""docs AS (SELECT afsc_doc_id, coalesce(raw_text, '') AS t FROM afsc_doc WHERE length(coalesce(raw_text, '')) % 3 <> 0 AND trim(left(coalesce(raw_text, ''), 40), ' ') <> '')"""
+
+
+def _extractor(texts: list[str]) -> list[list[dict[str, str]] | None]:
+    """A stand-in for an external extractor: two rows a text under different column names, nothing for every third."""
+    return [[{"Taxonomy Skill": "", "Description": t[:40], "score": "0", "confidence": "0.8", "Skill Tag": "nan"}, {"Raw Skill": t[:9].upper(), "Correlation Coefficient": "high", "ESCO ID": f"E{len(t)}"}] if len(t) % 3 else None for t in texts]
+
+
+@query(f"""WITH {EXTRACTED_SQL} SELECT afsc_doc_id, 0 AS ord, trim(left(t, 40), ' ') AS text, 0.8::DOUBLE AS confidence, NULL AS esco_id FROM docs
+    UNION ALL SELECT afsc_doc_id, 1, trim(upper(left(t, 9)), ' '), 0.5, 'E' || length(t) FROM docs WHERE trim(left(t, 9), ' ') <> ''""")
+def x06_x07_extracted(spark, d):
+    """Rows of an extractor read by whatever columns it has; documents it fails on are mined, which x03_x04 shows."""
+    docs = table(spark, d, "afsc_doc").select("afsc_doc_id", "raw_text")
+    return P.extracted(docs, "afsc_doc_id", "raw_text", _extractor).where(F.col("source") == "extractor").select("afsc_doc_id", "ord", "text", "confidence", "esco_id")
+
+
 # vectors
 
 
+def _embed(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: length and two letter counts."""
+    return [[float(len(t)), float(t.count("a")), float(t.count("e"))] for t in texts]
+
+
+@query("""SELECT validation_id, x / n AS x, y / n AS y, z / n AS z FROM (SELECT *, CASE WHEN x = 0 THEN 1.0 ELSE sqrt(x * x + y * y + z * z) END AS n FROM
+    (SELECT validation_id, length(t)::DOUBLE AS x, (length(t) - length(replace(t, 'a', '')))::DOUBLE AS y, (length(t) - length(replace(t, 'e', '')))::DOUBLE AS z FROM
+      (SELECT validation_id, CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE 'passage: ' || text END AS t FROM laiser_similarity_validation)))""")
+def v01_embedded(spark, d):
+    v = P.embedded(_checks(spark, d).select("validation_id", "text"), "text", _embed)
+    return v.select("validation_id", *[F.col("vector")[i].alias(c) for i, c in enumerate("xyz")])
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(esco_id, '')) <> '' THEN 'mapped' ELSE 'open' END AS source FROM ksa_item) GROUP BY 1")
+def v04_bars(spark, d):
+    """The frame behind a bar chart: rows by whether an entry is known."""
+    return table(spark, d, "ksa_item").groupBy(F.when(I.has_id("esco_id"), "mapped").otherwise("open").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings")
+def v04_points(spark, d):
+    """The frame behind a scatter plot: points by group."""
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 2 OFFSET 1")
+def s14_rows_between(spark, d):
+    """The second and third row of a table in order."""
+    return readers.rows_between(table(spark, d, "events").select("event_id"), [F.col("event_id")], 1, 3)
+
+
+@query("SELECT item_id, name AS text, coalesce(type, '') AS kind, '' AS section FROM ksa_item")
+def r02_r03_shaped(spark, d):
+    """A table by the names that are wanted, missing ones empty."""
+    df = table(spark, d, "ksa_item").select("item_id", "name", F.coalesce("type", F.lit("")).alias("type"))
+    df = readers.first_existing(readers.first_existing(df, ["text", "name"], "text"), ["kind", "type"], "kind")
+    return readers.with_missing(df, ["kind", "section"])
+
+
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), c AS (SELECT label, list(s ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS s FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY 1, 2) GROUP BY 1)
     SELECT vec_id, list_cosine_similarity(v, m) AS cos FROM e JOIN c USING (label)""")
 def v02_cosine(spark, d):
@@ -482,7 +619,9 @@ def v02_cosine(spark, d):
 
 @query()
 def v03_projection(spark, d):
-    """Two principal components; their signs are open."""
+    """Two principal components, their largest loadings positive."""
     e = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    p = PCA(k=2, inputCol="v", outputCol="p").fit(e).transform(e).select("vec_id", vector_to_array("p").alias("p"))
-    return p.select("vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    model = PCA(k=2, inputCol="v", outputCol="p").fit(e)
+    sign = [1.0 if max(column, key=abs) > 0 else -1.0 for column in model.pc.toArray().T.tolist()]
+    p = model.transform(e).select("vec_id", vector_to_array("p").alias("p"))
+    return p.select("vec_id", (F.col("p")[0] * sign[0]).alias("x"), (F.col("p")[1] * sign[1]).alias("y"))

@@ -203,7 +203,18 @@ def x03_x04_mined_items(spark, d):
     return extract.mined_items(_texts(spark, d), "afsc_doc_id", "text")
 
 
-@query(f"""WITH {MINED_SQL.replace('coalesce(clean_text, raw_text, ' + chr(39) * 2 + ')', CLEAN.replace('raw_text', 'coalesce(raw_text, ' + chr(39) * 2 + ')'))}
+def of_cleaned(ctes: str) -> str:
+    """CTEs over the cleaned raw texts instead of the clean ones."""
+    return ctes.replace("coalesce(clean_text, raw_text, '')", CLEAN.replace("raw_text", "coalesce(raw_text, '')"))
+
+
+#: The stand-in model's two lines from the first four longer words of a prompt; null for fewer.
+def stub_sql(prompt: str) -> str:
+    words = rf"list_filter(regexp_split_to_array(lower({prompt}), '{S.WS}+'), lambda x: regexp_full_match(x, '\p{{L}}+') AND length(x) > 3)[1:4]"
+    return f"CASE WHEN len({words}) = 4 THEN '- Knowledge of ' || ({words})[1] || ' ' || ({words})[2] || chr(10) || '- Ability to ' || ({words})[3] || ' ' || ({words})[4] END"
+
+
+@query(f"""WITH {of_cleaned(MINED_SQL)}
   SELECT afsc_doc_id, count(*) AS total, count(*) FILTER (false) AS knowledge, count(*) AS skills, count(*) FILTER (false) AS abilities FROM mined GROUP BY 1""")
 def a04_items_per_document(spark, d):
     """Flagship: every document cleaned, mined and counted."""
@@ -235,13 +246,28 @@ def x09_topics(spark, d):
     return extract.topics(_texts(spark, d), "afsc_doc_id", "text")
 
 
-@query()
+HEURISTIC_SQL = f"""{MINED_SQL}, {TOPIC_SQL[TOPIC_SQL.index(', t AS') + 2:]},
+  fit AS (SELECT afsc_doc_id, text, row_number() OVER (PARTITION BY afsc_doc_id ORDER BY ord) AS n FROM mined WHERE lower(split_part(text, ' ', 1)) IN ({', '.join(f"'{v}'" for v in extract.ABILITY_VERBS)}))"""
+
+
+@query(f"""WITH {HEURISTIC_SQL} SELECT afsc_doc_id, 'Ability to ' || lower(left(text, 1)) || substr(text, 2) AS text, 'ability' AS item_type, 0.55::DOUBLE AS confidence, 'llm-heuristic' AS source FROM fit WHERE n <= 2
+  UNION ALL SELECT afsc_doc_id, 'Knowledge of ' || topic, 'knowledge', 0.55, 'llm-heuristic' FROM topics WHERE n <= 3""")
 def x10_x11_heuristic_items(spark, d):
     docs = _texts(spark, d)
     return extract.heuristic_items(docs, extract.mined_items(docs, "afsc_doc_id", "text"), "afsc_doc_id", "text")
 
 
-@query()
+def _section_sql(no: int, ends: str, opens: str) -> str:
+    """Passages after ``opens`` up to what ``ends``, before which a mark is put, or up to the text's end."""
+    marked = rf"regexp_replace(regexp_replace(text, '\n$', ''), '({ends})', chr(1) || '\1', 'g')"
+    return rf"""SELECT afsc_doc_id, {no} AS pattern_no, CAST(k - 1 AS INTEGER) AS pos, h[k] AS hit FROM (SELECT afsc_doc_id, h, unnest(range(1, len(h) + 1)) AS k FROM
+      (SELECT afsc_doc_id, regexp_extract_all({marked}, '(?is){opens}([^\x01]+)', 1) AS h FROM docs))"""
+
+
+@query(rf"""WITH {DOCS}, s AS ({_section_sql(0, r'\n3\.\d|\n2\.', r'3\.1\.?\s*Knowledge[.\s\x01]+')}
+    UNION ALL {_section_sql(1, r'\n\d\.', r'Knowledge[.\s\x01]*(?:is mandatory of|includes?|requires?)[:\s\x01]+')}
+    UNION ALL {_section_sql(2, r'\n|\.{2,}', r'(?:principles?|theory|concepts?)[\s\x01]+of[:\s\x01]+')})
+  SELECT afsc_doc_id, pattern_no, pos, left(hit, 1500) AS passage FROM s""")
 def x12_knowledge_sections(spark, d):
     return extract.knowledge_sections(_texts(spark, d), "afsc_doc_id", "text")
 
@@ -252,19 +278,32 @@ def _with_text(spark: SparkSession, d: str) -> DataFrame:
     return c.join(_texts(spark, d), "afsc_doc_id")
 
 
-@query()
+_JOINED = f"{DOCS}, c AS (SELECT candidate_id, text_norm, evidence, text FROM ksa_candidates_v0_raw JOIN docs USING (afsc_doc_id))"
+_STRIP_X = S.strip("x")
+
+
+@query(rf"""WITH {_JOINED}, t AS (SELECT candidate_id, text, lower(text) AS low, list_filter(regexp_split_to_array(lower(text_norm), '[\t\n\x0b\f\r ]+'), lambda w: length(w) > 3)[1:3] AS terms,
+    list_transform(string_split(regexp_replace(text, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIP_X}) AS ss FROM c WHERE text_norm IS NOT NULL),
+  m AS (SELECT *, list_transform(ss, lambda x, i: {{'score': len(list_filter(terms, lambda w: contains(lower(x), w))) * 1000 - length(x), 'place': -i, 's': x, 'n': len(list_filter(terms, lambda w: contains(lower(x), w)))}}) AS sc,
+    list_filter(terms, lambda w: contains(low, w))[1] AS term FROM t),
+  b AS (SELECT *, list_max(list_filter(sc, lambda y: length(y.s) >= 20 AND y.n >= 2 AND y.score > 0)) AS best, instr(low, term) AS hit_at FROM m)
+  SELECT candidate_id, CASE WHEN len(terms) = 0 THEN {S.strip('left(text, 150)')} || '...' WHEN best IS NOT NULL THEN left(best.s, 200)
+    WHEN term IS NOT NULL THEN '...' || {S.strip('substr(text, greatest(hit_at - 51, 0) + 1, hit_at - 1 + length(term) + 100 - greatest(hit_at - 51, 0))')} || '...' ELSE {S.strip('left(text, 150)')} || '...' END AS evidence FROM b""")
 def x15_evidence_sentence(spark, d):
     return _with_text(spark, d).select("candidate_id", extract.evidence_sentence("text", "text_norm").alias("evidence"))
 
 
-@query()
+@query(rf"""WITH {_JOINED} SELECT candidate_id, coalesce(left(regexp_extract_all(right(left(text, greatest(instr(text, evidence) - 1, 0)), 200), '(\d+\.\d+\.?\s*[A-Z][^.]+)', 1)[-1], 20), '3.1 Knowledge') AS section FROM c WHERE evidence IS NOT NULL""")
 def x16_section_label(spark, d):
     at = F.greatest(F.instr("text", F.col("evidence")) - 1, F.lit(0))
     c = table(spark, d, "ksa_candidates_v0_raw").where(F.col("evidence").isNotNull()).select("candidate_id", "afsc_doc_id", "evidence").join(_texts(spark, d), "afsc_doc_id")
     return c.select("candidate_id", extract.section_label(F.col("text"), at).alias("section"))
 
 
-@query()
+@query(rf"""WITH {_JOINED}, w AS (SELECT candidate_id, text, list_filter(regexp_split_to_array(text_norm, '[\t\n\x0b\f\r ]+'), lambda w: w <> '')[1:3] AS ws FROM c WHERE text_norm IS NOT NULL),
+  h AS (SELECT *, CASE WHEN len(ws) > 0 THEN regexp_extract(text, '(?i)\b' || array_to_string(list_transform(ws, lambda w: regexp_escape(w)), '\s+'), 0) ELSE '' END AS hit FROM w),
+  a AS (SELECT *, instr(text, hit) AS hit_at FROM h)
+  SELECT candidate_id, CASE WHEN hit = '' THEN '' ELSE '...' || {S.strip('substr(text, greatest(hit_at - 101, 0) + 1, hit_at - 1 - greatest(hit_at - 101, 0) + length(hit) + 100)')} || '...' END AS evidence FROM a""")
 def x17_evidence_window(spark, d):
     return _with_text(spark, d).select("candidate_id", extract.evidence_window("text", "text_norm").alias("evidence"))
 
@@ -282,7 +321,9 @@ def x18_classified(spark, d):
 SUFFIXED_CODE = rf"{extract.SECTION_CODE}(?:-[0-9A-Z]+)?"
 
 
-@query()
+@query(f"""SELECT source_pdf, CAST(row_number() OVER (PARTITION BY source_pdf ORDER BY coalesce(page_start, 1 << 30), afsc_doc_id) - 1 AS INTEGER) AS sec_no, afsc_doc_id, {S.strip('code')} AS code,
+    CASE WHEN {S.squeeze("coalesce(title, '')")} = '' THEN 'untitled' ELSE {S.squeeze("coalesce(title, '')")} END AS title, {S.strip("regexp_replace(coalesce(clean_text, raw_text, ''), '[' || chr(1) || chr(2) || ']', ' ', 'g')")} AS section, true AS same
+    FROM afsc_doc WHERE source_pdf IS NOT NULL AND code IS NOT NULL""")
 def x19_sections(spark, d):
     """All records of a source file in one text under header lines, in order of pages, split again and held against the records.
 
@@ -301,15 +342,35 @@ def x19_sections(spark, d):
     return split.join(put, ["source_pdf", "sec_no"], "full").select("source_pdf", "sec_no", "afsc_doc_id", "code", "title", "section", same.alias("same"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)shift')) AS INTEGER) AS n_matches FROM documents WHERE contains(lower(text), 'shift')""")
+PAGES_SQL = rf"""SELECT doc_id, n_matches, CASE WHEN length(s) <= 700 THEN s WHEN h = '' THEN '[...]' ELSE h || ' [...]' END AS snippet FROM
+  (SELECT doc_id, n_matches, s, regexp_extract(left(s, 695), '^(.*) ', 1) AS h FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)shift')) AS INTEGER) AS n_matches, {S.squeeze('text')} AS s FROM documents WHERE contains(lower(text), 'shift')))"""
+
+
+@query(PAGES_SQL)
 def x20_a19_search_pages(spark, d):
-    return extract.search_pages(table(spark, d, "documents"), "doc_id", "text", "shift").drop("snippet")
+    return extract.search_pages(table(spark, d, "documents"), "doc_id", "text", "shift")
+
+
+@query(PAGES_SQL + " ORDER BY doc_id LIMIT 50")
+def x20_first_pages(spark, d):
+    return extract.search_pages(table(spark, d, "documents"), "doc_id", "text", "shift", most=50)
 
 
-@query(r"SELECT doc_id, lower(h) AS hit, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(?:radar|sensor)[a-z]*')) AS h FROM documents) GROUP BY 1, 2")
+def _matches_sql(pattern: str) -> str:
+    return rf"""SELECT doc_id, match_no, char_start, hit, {S.squeeze("substr(text, greatest(char_start - 60, 0) + 1, char_start - greatest(char_start - 60, 0) + length(hit) + 60)")} AS snippet FROM
+  (SELECT doc_id, text, CAST(k - 1 AS INTEGER) AS match_no, h[k] AS hit, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS char_start FROM
+    (SELECT doc_id, text, h, p, unnest(range(1, len(h) + 1)) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '(?i){pattern}') AS h, string_split_regex(text, '(?i){pattern}') AS p FROM documents WHERE text IS NOT NULL)))"""
+
+
+@query(_matches_sql(r"\b(?:radar|sensor)[a-z]*"))
 def x21_search_matches(spark, d):
-    got = extract.search_matches(table(spark, d, "documents"), "doc_id", "text", r"\b(?:radar|sensor)[a-z]*")
-    return got.groupBy("doc_id", F.lower("hit").alias("hit")).agg(F.count(F.lit(1)).alias("n"))
+    return extract.search_matches(table(spark, d, "documents"), "doc_id", "text", extract.search_pattern(r"\b(?:radar|sensor)[a-z]*"))
+
+
+@query(f"SELECT * FROM ({_matches_sql(chr(92) + 'b1N0[A-Z0-9]*' + chr(92) + 'b')}) ORDER BY doc_id, char_start LIMIT 100")
+def x21_search_codes(spark, d):
+    """Codes that begin as the query does, the first hundred of all documents."""
+    return extract.search_matches(table(spark, d, "documents"), "doc_id", "text", extract.search_pattern(" 1n0", code=True), most=100)
 
 
 @query(rf"""SELECT doc_id, CASE WHEN length(s) <= 80 THEN s WHEN h = '' THEN '[...]' ELSE h || ' [...]' END AS text

@@ -43,3 +43,17 @@ ITEMS = f"""items AS (
 
 def with_items(select: str, more: str = "") -> str:
     return f"WITH {ITEMS}{', ' + more if more else ''} {select}"
+
+
+def ratios(pairs: str, name: str = "ratios") -> str:
+    """CTEs that give ``name`` (a, b, ratio) for the distinct pairs (a, b) of the CTE ``pairs``.
+
+    Twice the length of all matching blocks over both lengths: the longest block, the first in a and then in b among equal
+    ones, and in turn what lies left and right of it.
+    """
+    return f"""{name}_open AS (SELECT a, b, a AS x, b AS y, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT a, b FROM {pairs})
+      UNION ALL SELECT a, b, unnest([left(x, i - 1), substr(x, i + n)]), unnest([left(y, j - 1), substr(y, j + n)]), n FROM (
+        SELECT a, b, x, y, m.n AS n, -m.i AS i, instr(y, substr(x, -m.i, m.n)) AS j FROM (
+          SELECT a, b, x, y, list_max(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, least(length(x) - i + 1, length(y)) + 1), lambda n: {{'n': n, 'i': -i}}))), lambda s: contains(y, substr(x, -s.i, s.n)))) AS m
+          FROM {name}_open WHERE x <> '' AND y <> '') WHERE m IS NOT NULL)),
+    {name} AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * (sum(n) / 2) / (length(a) + length(b)) END::DOUBLE AS ratio FROM {name}_open GROUP BY a, b)"""

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import TextIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import filled
@@ -23,6 +24,32 @@ def text_files(spark: SparkSession, folder: str, wanted: DataFrame | None = None
     return wanted.join(files, "code", "left").withColumn("missing", F.col("path").isNull())
 
 
+def given_text(spark: SparkSession, text: str | None = None, path: str | None = None, stream: TextIO | None = None, placeholder: str = "") -> DataFrame:
+    """One row of text: what is given, else the file's, else what the stream holds, else the placeholder; a blank one counts as none."""
+    got = text if text and text.strip() else None
+    if got is None and path:
+        return spark.read.text(path, wholetext=True).select(F.when(F.trim("value") == "", placeholder).otherwise(F.col("value")).alias("text"))
+    if got is None and stream is not None:
+        got = stream.read()
+    return spark.createDataFrame([(got if got and got.strip() else placeholder,)], "text string")
+
+
+def rows_between(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` (from 0, the last left out) in ``order``."""
+    return df.orderBy(*order).offset(first).limit(last - first)
+
+
+def with_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with those of ``columns`` that it lacks, as empty texts."""
+    return df.withColumns({c: F.lit("") for c in columns if c not in df.columns})
+
+
+def first_existing(df: DataFrame, names: list[str], put: str) -> DataFrame:
+    """``df`` with the first of ``names`` that it has called ``put``; unchanged if it has none."""
+    found = next((n for n in names if n in df.columns), None)
+    return df.withColumnRenamed(found, put) if found else df
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -98,7 +125,7 @@ def file_index(spark: SparkSession, folder: str, suffix: str = "md") -> DataFram
     return files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "path")
 
 
-def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables of an exported graph."""
-    doc = spark.read.schema(GRAPH).option("multiLine", True).json(path)
+def graph_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of exported graphs: a graph a file, or with ``lines`` a graph a line."""
+    doc = spark.read.schema(GRAPH).option("multiLine", not lines).json(path)
     return doc.select(F.inline("nodes")), doc.select(F.inline("edges"))

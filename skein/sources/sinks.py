@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.items import has_id
+
 AUDIT = ("timestamp", "afsc", "mode", "status", "metrics", "error")
 
 
@@ -37,7 +39,8 @@ def cache(df: DataFrame, path: str, key: str) -> None:
 
 
 def bulk_import(items: DataFrame, names: DataFrame, path: str) -> None:
-    """Nodes and relationships as three CSV folders for a bulk import."""
+    """Nodes and relationships as three CSV folders for a bulk import; similarities are empty where the items have none."""
+    none = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("double").alias(c)
     csv(names.select("code", "name"), f"{path}/nodes_afsc")
-    csv(items.groupBy(F.col("text").alias("name"), F.col("item_type").alias("type")).agg(F.min_by("source", "ord").alias("source"), F.min_by("esco_id", "ord").alias("esco_id")), f"{path}/nodes_item")
-    csv(items.select(F.col("doc_code").alias("afsc_code"), F.col("text").alias("item_name"), "item_type", "evidence", "esco_id", "confidence"), f"{path}/rels_requires")
+    csv(items.groupBy(F.col("text").alias("name"), F.col("item_type").alias("type")).agg(F.min_by("source", "ord").alias("source"), F.min_by(F.when(has_id("esco_id"), F.col("esco_id")), F.when(has_id("esco_id"), F.col("ord"))).alias("esco_id")), f"{path}/nodes_item")
+    csv(items.select(F.col("doc_code").alias("afsc_code"), F.col("text").alias("item_name"), "item_type", "evidence", "esco_id", "confidence", none("sim_skill_evidence"), none("sim_skill_esco")), f"{path}/rels_requires")

@@ -4,20 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.graph import SCHEMAS, Graph, empty_graph, upsert
-
-
-def stored(spark: SparkSession, path: str, version: int) -> Graph:
-    """The graph written as ``version``; an empty one for version 0."""
-    return empty_graph(spark) if version == 0 else Graph(**{t: spark.read.parquet(f"{path}/v{version}/{t}") for t in SCHEMAS})
-
-
-def store(g: Graph, path: str, version: int) -> None:
-    for t in SCHEMAS:
-        getattr(g, t).write.mode("overwrite").parquet(f"{path}/v{version}/{t}")
+from skein.operators.graph import store, stored, upsert
 
 
 def ingest(stream: DataFrame, items_of: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, clock: Callable[[int], int]) -> StreamingQuery:

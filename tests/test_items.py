@@ -119,6 +119,53 @@ def test_provider_fallback(spark):
     assert got[2].reply is None
 
 
+def test_calls_and_runtime(spark):
+    def told(prompts, call):
+        return [f"{call.model} {call.temperature} {call.max_tokens} {call.key}" for _ in prompts]
+
+    df = spark.createDataFrame([(1, "some words")], "i long, prompt string")
+    call, runtime = P.Call(model="m", temperature=0.5, max_tokens=9), P.Runtime("Gemini ", {"gemini": "secret"})
+    assert runtime.chosen("openai") == "gemini" and P.Runtime().chosen(" OFF ") == "" and "secret" not in repr(runtime) + repr(runtime.call("gemini"))
+    assert P.asked(df, "prompt", {"gemini": told}, runtime.chosen("openai"), call=call, runtime=runtime).first().reply == "m 0.5 9 secret"
+
+
+def test_extractor_rows_and_fallback(spark):
+    def extractor(texts):
+        if any("fail" in t for t in texts):
+            raise ValueError
+        return [None if t == "none" else [] if t == "empty" else [{"Taxonomy Skill": " ", "Skill": f" {t} ", "score": "0.0", "confidence": "x", "Skill Tag": float("nan")}, {"Raw Skill": ""}, {"Description": "d", "Correlation Coefficient": "0.9", "ESCO ID": " E1 "}] for t in texts]
+
+    docs = spark.createDataFrame([(1, "good"), (2, "none"), (3, "empty"), (4, "fail"), (5, None)], "i long, t string").coalesce(1)
+    got = {}
+    for r in P.extracted(docs, "i", "t", extractor).collect():
+        got.setdefault(r.i, []).append((r.text, r.confidence, r.source, r.esco_id))
+    assert sorted(got[1]) == [("d", 0.9, "extractor", "E1"), ("good", 0.5, "extractor", None)]
+    assert all({x[2] for x in got[i]} == {"fallback-generic"} for i in (2, 3, 4)) and 5 in got
+    assert {r.source for r in P.extracted(docs, "i", "t", None).collect()} == {"fallback-generic"}
+
+
+def test_switched_off_and_inferred(spark):
+    docs = spark.createDataFrame([("a", "Radar Maintenance is taught.")], "doc_code string, text string")
+    have = frame(spark, [("a", 1, "assess maps", "skill", 0.5, None)])
+    assert {r.source for r in P.enhanced(docs, have, {"openai": P.stub}, "disabled").collect()} == {"llm-heuristic"}
+    rows = [("a", i, f"skill number{i}", "skill", c, None) for i, c in enumerate([0.1, None, 0.9, 0.8, 0.7, 0.6])] + [("b", 1, "skill", "skill", 0.5, None)]
+    known = spark.createDataFrame([("b",), ("b",)], "doc_code string")
+    said = lambda prompts: ["- radar theory\n• x\n* map reading *" for _ in prompts]
+    got = P.inferred(frame(spark, rows), known, {"openai": said}, "openai").collect()
+    assert {(r.doc_code, r.text, r.confidence, r.source, r.evidence) for r in got} == {("a", t, 0.45, "skill_inferred", "Inferred from skills: skill number2, skill number3") for t in ("radar theory", "map reading")} and len(got[0].parents) == 5
+    assert P.inferred(frame(spark, rows), known, {"openai": lambda p: ["none of it" for _ in p]}, "openai").count() == 0
+
+
+def test_vectors_have_length_one(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", None, " "] * 20)], "i long, t string")
+
+    def embed(texts):
+        return [[3.0 * len(t), 4.0 * len(t)] for t in texts] if len(texts) <= 32 else 1 / 0
+
+    got = {tuple(r.vector) for r in P.embedded(df, "t", embed).collect()}
+    assert got == {(0.6, 0.8), (0.0, 0.0)}
+
+
 def test_provider_gets_the_whole_text(spark, tmp_path, monkeypatch):
     from skein.plans import q_items
 

@@ -1,8 +1,9 @@
-"""Every query against its SQL on the smallest tables; the rest must run and keep their columns."""
+"""Every query against its SQL on the smallest tables."""
 
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -36,8 +37,11 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     got = registry.QUERIES[name](spark, DATA).toPandas()
-    if name not in registry.SQL:
-        assert len(got.columns) > 0
+    if name == "v03_projection":  # SQL can't say it
+        vectors = np.stack(pd.read_parquet(f"{DATA}/embeddings.parquet").sort_values("vec_id").embedding).astype(float)
+        _, _, axes = np.linalg.svd(vectors - vectors.mean(axis=0), full_matrices=False)
+        axes = axes[:2] * np.sign(axes[[0, 1], np.abs(axes[:2]).argmax(axis=1)])[:, None]
+        assert np.allclose(got.sort_values("vec_id")[["x", "y"]], vectors @ axes.T, atol=1e-6)
         return
     want = duck.sql(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

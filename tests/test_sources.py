@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.plans import pipeline
@@ -72,3 +73,18 @@ def test_stream_upserts(spark, tmp_path):
     q = ingest.ingest(stream, lambda b: b, str(tmp_path / "g"), str(tmp_path / "c"), lambda n: n + 1)
     q.awaitTermination(60)
     assert ingest.stored(spark, str(tmp_path / "g"), 1).statement.first().text == "run radar"
+
+
+def test_given_text_and_shaping(spark, tmp_path):
+    import io
+
+    (tmp_path / "t.txt").write_text("from a file")
+    given = lambda **k: readers.given_text(spark, **k).first().text
+    assert given(text="x", path=str(tmp_path / "t.txt")) == "x" and given(text=" ", path=str(tmp_path / "t.txt")) == "from a file"
+    assert given(stream=io.StringIO("typed")) == "typed" and given(stream=io.StringIO(" "), placeholder="p") == "p" and given(placeholder="p") == "p"
+    df = spark.createDataFrame([(i, "v") for i in range(9)], "i long, b string")
+    assert [r.i for r in readers.rows_between(df, [df.i.desc()], 2, 5).collect()] == [6, 5, 4]
+    assert readers.with_missing(df, ["b", "c"]).columns == ["i", "b", "c"] and readers.first_existing(df, ["a", "b", "i"], "x").columns == ["i", "x"] and readers.first_existing(df, ["q"], "x").columns == ["i", "b"]
+    assert readers.require_columns(df, {"i"}) is df
+    with pytest.raises(ValueError, match="z"):
+        readers.require_columns(df, {"i", "z"})
