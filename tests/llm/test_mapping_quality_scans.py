@@ -183,15 +183,3 @@ def test_documents_loaded_again_change_nothing(spark):
     once = {r.afsc_doc_id: tuple(r)[1:] for r in scans.repaired(spark.createDataFrame(rows, DOC)).collect()}
     many = scans.repaired(spark.createDataFrame([(1000 * k + i, *rest) for k in range(20) for i, *rest in rows], DOC).repartition(6)).collect()
     assert len(many) == 20 * len(once) and all(tuple(r)[1:] == once[r.afsc_doc_id % 1000] for r in many)
-
-
-def test_queries_run(spark):
-    from pathlib import Path
-
-    from skein.llm import queries
-
-    data = "/root/testdata/sf0.001"
-    if not Path(data).exists():
-        pytest.skip("no test tables here")
-    for name, q in queries.QUERIES.items():
-        assert q(spark, data).count() >= 0, name
