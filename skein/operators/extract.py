@@ -31,7 +31,9 @@ SECTIONS = (
     r"Knowledge[.\s]*(?:is mandatory of|includes?|requires?)[:\s]+(.+?)(?=\n\d\.|$)",
     r"(?:principles?|theory|concepts?)\s+of[:\s]+(.+?)(?=\n|\.{2,}|$)",
 )
+# What a code, a section's header line and a heading look like.
 SECTION_CODE = "[0-9A-Z]{2,5}[A-Z0-9X]{1,2}"
+SECTION_MARK, HEADER, HEADING = r"(?md)^\s*AFSC\s+", r"(?md)^\s*AFSC\s+({codes})\s*,\s*(.+?)\s*$", r"(\d+\.\d+\.?\s*[A-Z][^.]+)"
 LAST_RESORT = (("knowledge", "knowledge of intelligence cycle", "knowledge"), ("skill", "imagery exploitation", "skill"), ("abilit", "brief intelligence findings", "ability"))
 NOTHING_FOUND = "general geospatial intelligence competence"
 
@@ -187,7 +189,7 @@ def evidence_window(text: Column | str, item: Column | str, around: int = 100) -
 def section_label(text: Column, position: Column, default: str = "3.1 Knowledge") -> Column:
     """The last section heading in the 200 characters before ``position`` (from 0), 20 characters of it."""
     before = F.right(F.left(text, position), F.lit(200))
-    return F.coalesce(F.left(F.try_element_at(F.regexp_extract_all(before, F.lit(r"(\d+\.\d+\.?\s*[A-Z][^.]+)"), F.lit(1)), F.lit(-1)), F.lit(20)), F.lit(default))
+    return F.coalesce(F.left(F.try_element_at(F.regexp_extract_all(before, F.lit(HEADING), F.lit(1)), F.lit(-1)), F.lit(20)), F.lit(default))
 
 
 def split_sections(docs: DataFrame, ident: str, text: str, codes: str = SECTION_CODE) -> DataFrame:
@@ -196,10 +198,10 @@ def split_sections(docs: DataFrame, ident: str, text: str, codes: str = SECTION_
     Where no line is a full header, a line that opens with the mark and a code does, and the title is empty.
     """
     t = col(text)
-    header = rf"(?md)^\s*AFSC\s+({codes})\s*,\s*(.+?)\s*$"
+    header = HEADER.replace("{codes}", codes)
     cut = F.split(F.regexp_replace(t, header, "\u0001$1\u0002$2\u0002"), "\u0001")
     full = F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda x: F.struct(F.trim(F.split(x, "\u0002")[0]).alias("code"), strip(F.split(x, "\u0002")[1]).alias("title"), strip(F.split(x, "\u0002")[2]).alias("section")))
-    loose = F.split(F.regexp_replace(t, r"(?md)^\s*AFSC\s+", "\u0001"), "\u0001")
+    loose = F.split(F.regexp_replace(t, SECTION_MARK, "\u0001"), "\u0001")
     code = rf"(?s)^({codes})\s*[, ]\s*(.*)"
     plain = F.filter(F.transform(F.slice(loose, 2, F.greatest(F.size(loose) - 1, F.lit(0))), lambda x: F.struct(F.regexp_extract(x, code, 1).alias("code"), F.lit("").alias("title"), strip(F.regexp_extract(x, code, 2)).alias("section"))), lambda x: x["code"] != "")
     return docs.where(t.isNotNull()).select(ident, F.posexplode(F.when(F.size(full) > 0, full).otherwise(plain))).select(ident, F.col("pos").alias("sec_no"), "col.*")
