@@ -40,7 +40,7 @@ class Mixture:
 def moments(x: np.ndarray) -> np.ndarray:
     """1, the coordinates and their products, of each row."""
     iu = np.triu_indices(x.shape[1])
-    return np.concatenate([np.ones((len(x), 1)), x, x[:, iu[0]] * x[:, iu[1]]], axis=1)
+    return np.concatenate([np.ones((len(x), 1), dtype=x.dtype), x, x[:, iu[0]] * x[:, iu[1]]], axis=1)
 
 
 def posteriors(x: np.ndarray, coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,12 +106,13 @@ def fit(vectors: DataFrame, column: str, start: np.ndarray, iterations: int = 12
             from pyspark import TaskContext
 
             total, ll = np.zeros((k, theta.shape[0])), 0.0
+            theta = theta.astype(np.float32)  # single precision within a block, sums of blocks in double
             for b in batches:
-                x = rows_of(b.column(0))
+                x = rows_of(b.column(0)).astype(np.float32)
                 for at in range(0, len(x), 4096):
                     phi, r, each = posteriors(x[at : at + 4096], theta)
                     total += r.T @ phi
-                    ll += each.sum()
+                    ll += float(each.sum(dtype=np.float64))
             ctx = TaskContext.get()
             yield pa.RecordBatch.from_arrays([pa.array([ctx.partitionId() if ctx else 0], pa.int32()), pa.array([np.append(total.ravel(), ll)], pa.list_(pa.float64()))], names=["task", "m"])
 

@@ -35,7 +35,7 @@ REMEMBERED, AT_ONCE = 1 << 17, 1 << 18
 
 
 class Tokens(dict):
-    """Numbers of tokens (runs without white space), whose figures are rows of ``rows``; starts anew when it has grown large.
+    """Numbers of tokens (runs without white space), whose figures are in ``columns``; starts anew when it has grown large.
 
     The figures: length, letters, words, digits, vowels, whether it ends a sentence, whether it is a word or a short number
     with nothing but marks around it, and its common words of each language.
@@ -44,12 +44,12 @@ class Tokens(dict):
     def __init__(self, common: dict[str, frozenset[str]]) -> None:
         super().__init__()
         self.common = [c for _, c in sorted(common.items())]
-        self.rows = np.zeros((REMEMBERED, 7 + len(self.common)), dtype=np.int32)
+        self.columns = np.zeros((7 + len(self.common), REMEMBERED), dtype=np.int32)
 
     def __missing__(self, token: str) -> int:
         n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if n == self.columns.shape[1]:
+            self.columns = np.concatenate([self.columns, np.zeros_like(self.columns)], axis=1)
         low = token.lower()
         if token.isascii() and token.isalpha():
             words, letters, digits, clean = [low], len(token), 0, 1
@@ -57,7 +57,7 @@ class Tokens(dict):
             words = WORD.findall(low)
             letters, digits, clean = sum(map(len, words)), sum(1 for c in token if "0" <= c <= "9"), CLEAN.match(token) is not None
         vowels = sum(1 for c in low if c in VOWELS)
-        self.rows[n] = [len(token), letters, len(words), digits, vowels, token[-1] in ".!?", clean, *(sum(1 for w in words if w in c) for c in self.common)]
+        self.columns[:, n] = [len(token), letters, len(words), digits, vowels, token[-1] in ".!?", clean, *(sum(1 for w in words if w in c) for c in self.common)]
         self[token] = n
         return n
 
@@ -67,9 +67,9 @@ class Tokens(dict):
             self.__init__(dict(enumerate(self.common)))
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         ids = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(sizes.sum()))
-        rows = self.rows[ids]
         at = np.cumsum(sizes) - sizes
-        return np.add.reduceat(rows, at, axis=0, dtype=np.int64), np.maximum.reduceat(rows[:, 0], at)
+        sums = np.stack([np.add.reduceat(c.take(ids), at, dtype=np.int64) for c in self.columns])
+        return sums, np.maximum.reduceat(self.columns[0].take(ids), at)
 
 
 def marks(lines: list[str]) -> int:
@@ -176,9 +176,9 @@ def stats_of(texts: list[str], tokens: Tokens) -> np.ndarray:
         sums, longest = tokens.sums(lists)
         size, ended, per_segment, pieces, marked, cells, packed, distinct, strange, running = np.array([layout(t) for t in texts[start:at]]).T
         counts = np.array([len(x) for x in lists], dtype=float)
-        seen, letters, words, digits, vowels, stops, clean = sums[:, :7].T.astype(float)
+        seen, letters, words, digits, vowels, stops, clean = sums[:7].astype(float)
         solid = np.maximum(1, seen)
-        common = sums[:, 7:].max(axis=1) if sums.shape[1] > 7 else np.zeros(len(sums))
+        common = sums[7:].max(axis=0) if len(sums) > 7 else np.zeros(sums.shape[1])
         some = np.maximum(1, words)
         out[start:at] = np.stack([
             size, words, letters / some, (seen - letters - digits) / solid, digits / solid, ended, common / some, per_segment, counts / np.maximum(1, pieces), marked, cells,
