@@ -73,6 +73,8 @@ STATEMENT = r"(?i)^\s*-\s*(Knowledge of|Ability to)\s.+$"
 TRAIL = r"\s*[.;:,!?]\s*$"
 #: Characters of the substrings by which texts that hold each other are found.
 GRAM, RARE = 4, "[jqxzkvwbyfgp0-9]"
+#: Pairs a text up to which all are compared, and texts up to which one side is broadcast for that (some 20 MB).
+FEW, SMALL = 20, 200_000
 
 
 def stub(prompts: list[str]) -> list[str | None]:
@@ -176,16 +178,20 @@ def held_in(short: DataFrame, long: DataFrame, ident: str) -> DataFrame:
     """All pairs (``ident``, s, l) of texts s of ``short`` (``ident``, s) and l of ``long`` (``ident``, l) of one ``ident`` where l holds s.
 
     Each s asks with one substring of ``GRAM`` characters (all of it, if it is shorter), one with letters that are rare in
-    words, and each l answers with all of its own that anyone in its group asks with. Empty texts are held by none.
+    words, and each l answers with all of its own. Where all pairs of the groups are few (``FEW`` a text, counted first),
+    they are compared as they are. Empty texts are held by none.
     """
-    short = short.where(F.length("s") > 0).distinct()
+    short, long = short.where(F.length("s") > 0).distinct(), long.where(F.length("l") > 0).distinct()
+    count = lambda df, name: df.groupBy(ident).agg(F.count(F.lit(1)).alias(name))
+    facts = count(short, "a").join(count(long, "b"), ident, "full").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a").cast("double") * F.col("b")).alias("pairs")).first()
+    if (facts["pairs"] or 0) <= FEW * ((facts["a"] or 0) + (facts["b"] or 0)):
+        few = F.broadcast(short) if (facts["a"] or 0) <= SMALL else short
+        return long.join(few, ident).where(F.contains("l", F.col("s"))).select(ident, "s", "l")
     sizes = [r[0] for r in short.select(F.least(F.length("s"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM at most
-    if not sizes:
-        return short.join(long, ident).limit(0)
     rare = lambda g: F.length(F.regexp_replace(g, RARE, ""))
     own = F.transform(_parts(F.col("s"), F.least(F.length("s"), F.lit(GRAM))), lambda g: F.struct(rare(g).alias("n"), F.xxhash64(g).alias("h"), g.alias("g")))
     asks = short.select(ident, "s", F.array_min(own)["g"].alias("g"))
-    answers = long.where(F.length("l") > 0).distinct().select(ident, "l", F.explode(F.array_distinct(F.concat(*[_parts(F.col("l"), F.lit(n)) for n in sizes]))).alias("g"))
+    answers = long.select(ident, "l", F.explode(F.array_distinct(F.concat(*[_parts(F.col("l"), F.lit(n)) for n in sizes]))).alias("g"))
     return asks.join(answers, [ident, "g"]).where(F.contains("l", F.col("s"))).select(ident, "s", "l")
 
 

@@ -59,9 +59,10 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float,
     Null and empty sets meet nothing. With ``by`` only sets of equal, non-null ``by`` meet. Without ``right`` the left sets
     are joined with themselves, and only pairs with lid < rid come out.
 
-    Tokens are ordered by their frequency over both sides; only the rarest |x| - ceil(t|x|) + 1 of each set are joined, then
-    come the length and the positional filter, and Jaccard is computed exactly. A pair is emitted at its first shared prefix
-    token only, so no pass for distinct pairs is needed.
+    Tokens are ordered by their frequency over both sides, rarest first. Two sets that must share two tokens or more share the
+    two rarest of these among the first |x| - ceil(t|x|) + 2 of either, so pairs of such prefix tokens are joined; sets so
+    small that one shared token is enough are joined by single tokens. Then come the length and the positional filter, and
+    Jaccard is computed exactly. A pair is emitted at its first shared tokens only, so no pass for distinct pairs is needed.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -77,23 +78,31 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float,
     table = rank_table(frequency)
     rows = rank_rows(frequency) if table is None else None
 
+    single = (1 + threshold) / threshold + 1e-9  # sets of so many tokens together need to share only one
+
     def prefixes(df: DataFrame, ident: str) -> DataFrame:
-        n = F.size("_ranks") - F.ceil(t * F.size("_ranks") - 1e-9).cast("int") + 1
         unique = F.struct(*keys, ident) if by else F.col(ident)
-        r = ranked(df.select(*keys, ident, "tokens", unique.alias("_u")), "tokens", table, rows, "_u").drop("_u")
-        return r.select(*keys, ident, F.col("_ranks").alias("x"), F.posexplode(F.slice("_ranks", F.lit(1), n)).alias("i", "token"))
+        r = ranked(df.select(*keys, ident, "tokens", unique.alias("_u")), "tokens", table, rows, "_u").drop("_u").withColumnRenamed("_ranks", "x")
+        n = F.size("x")
+        first = F.slice("x", F.lit(1), F.least(n, n - F.ceil(t * n - 1e-9).cast("int") + 2))
+        two = F.flatten(F.transform(first, lambda v, i: F.transform(F.slice(first, i + 2, n), lambda w, k: F.struct(v.alias("v"), w.alias("w"), (i + k + 1).alias("i")))))
+        one = F.when(n + 1 <= single, F.transform("x", lambda v, i: F.struct(v.alias("v"), F.lit(-1).cast("long").alias("w"), i.alias("i")))).otherwise(F.array().cast("array<struct<v:bigint,w:bigint,i:int>>"))
+        return r.select(*keys, ident, "x", F.explode(F.concat(two, one)).alias("k")).select(*keys, ident, "x", "k.*")
 
     a = prefixes(left, "lid")
     if alone:
         a = cut(a)  # read twice
     b = (a.withColumnRenamed("lid", "rid") if alone else prefixes(right, "rid")).withColumnsRenamed({"x": "y", "i": "j"})
-    pairs = a.join(b, [*keys, "token"])
+    pairs = a.join(b, [*keys, "v", "w"])
     if alone:
         pairs = pairs.where(F.col("lid") < F.col("rid"))
     nx, ny = F.size("x"), F.size("y")
+    lone = F.col("w") < 0
     need = F.ceil((t / (1 + t)) * (nx + ny) - 1e-9)
-    pairs = pairs.where((ny >= t * nx - 1e-9) & (nx >= t * ny - 1e-9))  # length filter
-    pairs = pairs.where(1 + F.least(nx - F.col("i") - 1, ny - F.col("j") - 1) >= need - F.least("i", "j"))  # positional filter
-    pairs = pairs.where((F.col("i") == 0) | (F.col("j") == 0) | ~F.arrays_overlap(F.slice("x", F.lit(1), F.col("i")), F.slice("y", F.lit(1), F.col("j"))))
+    pairs = pairs.where((ny >= t * nx - 1e-9) & (nx >= t * ny - 1e-9) & (lone == (nx + ny <= single)))  # length filter
+    so_far = F.when(lone, 1).otherwise(2)
+    pairs = pairs.where(so_far + F.least(nx - F.col("i") - 1, ny - F.col("j") - 1) >= need)  # positional filter
+    before = F.size(F.array_intersect(F.slice("x", F.lit(1), F.col("i")), F.slice("y", F.lit(1), F.col("j"))))
+    pairs = pairs.where(before == so_far - 1)
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.select(*keys, "lid", "rid", (shared / (nx + ny - shared)).alias("jaccard")).where(F.col("jaccard") >= t - 1e-9)

@@ -192,7 +192,7 @@ def test_without_reply_mined_items_and_heuristics_stand_in(spark):
     assert out == know | {("a", "ability", f"Ability to {t}", 0.55) for t in ("analyze signals", "assess maps")}
 
 
-def test_lines_that_hold_or_are_held_against_all_pairs(spark):
+def test_lines_that_hold_or_are_held_against_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     text = lambda: "".join(rng.choice("ab c") for _ in range(rng.randint(0, 9)))
     lines = [(rng.choice(["d", "e", None]), i, rng.choice([text(), text(), "???", None])) for i in range(150)]
@@ -201,8 +201,10 @@ def test_lines_that_hold_or_are_held_against_all_pairs(spark):
     squeezed = lambda t: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", form(t).strip()))
     items = {d: {squeezed(t) for x, _, t, *_ in have if x == d and t and squeezed(t)} for d in "def"}
     want = {i for d, i, t in lines if not (d and t is not None and any(e in squeezed(t) or squeezed(t) in e for e in items[d]))}
-    got = P.new_only(spark.createDataFrame(lines, "doc_code string, i long, line string"), frame(spark, have)).collect()
-    assert {r.i for r in got} == want and len(got) == len(want)
+    for few in (0, 10**6):
+        monkeypatch.setattr(P, "FEW", few)
+        got = P.new_only(spark.createDataFrame(lines, "doc_code string, i long, line string"), frame(spark, have)).collect()
+        assert {r.i for r in got} == want and len(got) == len(want)
 
 
 def test_places_in_groups_and_description(spark):
