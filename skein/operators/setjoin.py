@@ -80,19 +80,20 @@ def similarity_join(left: DataFrame, right: DataFrame | None, threshold: float,
 
     single = (1 + threshold) / threshold + 1e-9  # sets of so many tokens together need to share only one
 
-    def prefixes(df: DataFrame, ident: str) -> DataFrame:
+    def sets(df: DataFrame, ident: str) -> DataFrame:
         unique = F.struct(*keys, ident) if by else F.col(ident)
-        r = ranked(df.select(*keys, ident, "tokens", unique.alias("_u")), "tokens", table, rows, "_u").drop("_u").withColumnRenamed("_ranks", "x")
+        return ranked(df.select(*keys, ident, "tokens", unique.alias("_u")), "tokens", table, rows, "_u").drop("_u").withColumnRenamed("_ranks", "x")
+
+    def prefixes(r: DataFrame, ident: str) -> DataFrame:
         n = F.size("x")
         first = F.slice("x", F.lit(1), F.least(n, n - F.ceil(t * n - 1e-9).cast("int") + 2))
         two = F.flatten(F.transform(first, lambda v, i: F.transform(F.slice(first, i + 2, n), lambda w, k: F.struct(v.alias("v"), w.alias("w"), (i + k + 1).alias("i")))))
         one = F.when(n + 1 <= single, F.transform("x", lambda v, i: F.struct(v.alias("v"), F.lit(-1).cast("long").alias("w"), i.alias("i")))).otherwise(F.array().cast("array<struct<v:bigint,w:bigint,i:int>>"))
         return r.select(*keys, ident, "x", F.explode(F.concat(two, one)).alias("k")).select(*keys, ident, "x", "k.*")
 
-    a = prefixes(left, "lid")
-    if alone:
-        a = cut(a)  # read twice
-    b = (a.withColumnRenamed("lid", "rid") if alone else prefixes(right, "rid")).withColumnsRenamed({"x": "y", "i": "j"})
+    one_side = cut(sets(left, "lid")) if alone else sets(left, "lid")  # read twice
+    a = prefixes(one_side, "lid")
+    b = prefixes(one_side.withColumnRenamed("lid", "rid") if alone else sets(right, "rid"), "rid").withColumnsRenamed({"x": "y", "i": "j"})
     pairs = a.join(b, [*keys, "v", "w"])
     if alone:
         pairs = pairs.where(F.col("lid") < F.col("rid"))

@@ -105,9 +105,14 @@ def greedy_clusters(items: DataFrame, threshold: float = SAME, shortest: int = S
     ranked = cut(items.withColumn("text", text).select("doc_code", "item_type", group.alias("g"), "ord", "text", match_form("text").alias("form"), place.alias("at"), "esco_id"))
     # of each form the best text that may join, and the best that only opens
     long = F.length("text") >= shortest
-    forms = cut(ranked.groupBy("g", "form").agg(F.min(F.when(long, F.col("at"))).alias("long"), F.min(F.when(~long, F.col("at"))).alias("short")))
-    sets = forms.select("g", F.struct("form", "long", "short").alias("lid"), F.when(F.col("form") == "", F.array(F.lit(""))).otherwise(tokens("form")).alias("tokens"))
-    near = similarity_join(sets, None, least_jaccard(threshold), "g")
+    forms = ranked.groupBy("g", "form").agg(F.min(F.when(long, F.col("at"))).alias("long"), F.min(F.when(~long, F.col("at"))).alias("short"))
+    forms = cut(forms.withColumn("no", F.monotonically_increasing_id()))
+    sets = forms.select("g", F.col("no").alias("lid"), F.when(F.col("form") == "", F.array(F.lit(""))).otherwise(tokens("form")).alias("tokens"))
+    near = cut(similarity_join(sets, None, least_jaccard(threshold), "g"))
+    few = F.broadcast if near.limit(OPEN_AT_ONCE + 1).count() <= OPEN_AT_ONCE else lambda df: df
+    side = lambda n: forms.select(F.col("no").alias(f"_{n}"), F.struct("form", "long", "short").alias(n))
+    near = side("lid").join(few(near.withColumnsRenamed({"lid": "_lid", "rid": "_rid"})), "_lid")
+    near = side("rid").join(few(near) if few is F.broadcast else near, "_rid")
     # the later of two is compared with the earlier, which may have been opened by either kind of text
     way = lambda v, u, k: F.when(F.col(f"{u}.{k}") < F.col(f"{v}.long"), F.struct(F.col(f"{v}.long").alias("at"), F.col(f"{v}.form").alias("form"), F.col(f"{u}.{k}").alias("u"), F.col(f"{u}.form").alias("of"), F.lit(k == "short").alias("opens")))
     both = F.array(*[way(v, u, k) for v, u in (("lid", "rid"), ("rid", "lid")) for k in ("long", "short")])
