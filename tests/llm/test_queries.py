@@ -86,12 +86,12 @@ def test_kinds(got):
 
 
 def test_inspected_documents(got):
-    """Documents that were read through, by id: what kind of text each is."""
+    """Documents whose beginnings were read, by id: what kind of text each is."""
     kinds = got["p8_figures"].set_index("doc_id").kind
     assert {i: kinds[i] for i in INSPECTED} == INSPECTED
 
 
-#: Read through in full or in part, before looking at what the operator says.
+#: Labelled by their first hundred characters, before looking at what the operator says.
 INSPECTED = {i: kind for kind, ids in {
     "junk": [3, 11, 12, 18, 37, 59, 81],
     "list": [6, 9, 34, 50, 78, 82, 91],
