@@ -64,7 +64,8 @@ class Tokens(dict):
     def sums(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The figures added up over each list, and its longest token; no list may be empty."""
         if len(self) > REMEMBERED // 2:
-            self.__init__(dict(enumerate(self.common)))
+            self.clear()
+            self.columns = np.zeros((len(self.columns), REMEMBERED), dtype=np.int32)
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         ids = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(sizes.sum()))
         at = np.cumsum(sizes) - sizes

@@ -91,6 +91,20 @@ def test_stats_of_odd_texts():
         assert len(textstats.text_stats(t, words)) == len(textstats.STATS) and np.isfinite(textstats.vectors(np.array([textstats.text_stats(t, words)]))).all()
 
 
+def test_stats_after_tokens_start_anew(monkeypatch):
+    """A worker that has met more tokens than it remembers finds the same figures as one that begins with each text."""
+    words = {"en": frozenset({"the", "of"}), "de": frozenset({"der"})}
+    texts = [f"The end of no{k}n, {k} w{k}x of der m{k}ll. " + " ".join(f"t{j}" for j in range(k % 9)) for k in range(60)]
+    want = np.concatenate([textstats.stats_of([t], textstats.Tokens(words)) for t in texts])
+    monkeypatch.setattr(textstats, "REMEMBERED", 32)
+    tokens = textstats.Tokens(words)
+    got = np.concatenate([textstats.stats_of(texts[at : at + 3], tokens) for at in range(0, len(texts), 3)])
+    assert len(tokens) < 64 and np.array_equal(got, want)
+    monkeypatch.setattr(textstats, "AT_ONCE", 40)  # begins anew within a batch too
+    tokens = textstats.Tokens(words)
+    assert np.array_equal(textstats.stats_of(texts, tokens), want) and len(tokens) < 128
+
+
 def test_scan_repair():
     k = scans.Known({w: 5 for w in "the crew checks copper kettles and multi-sensor masts short- long-range in order to repair modern barns burn while maintaining them certificate tables".split()}, {scans.line_key("Guide to Barns, Change 8"), scans.line_key("Printed copies are void")})
     text = "BARN KEEPER\n1. Summary: The crevv checks cop-\nper kettles and multi-\nsensor masts.\nl2\nGuide to Barns, Change 9\nThe c rew checks short-\nand long-\nrange rnasts in order to re pair tab les.\nPrinted  copies are v0id\n13"
